@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The schema graph is a property of the formats, not of the rows; more edges than this mean that data were
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 MAX_EDGES = 1_000_000
 #: Nesting beyond this is unreadable (no JSON writer makes it; it only serves to exhaust a parser).
 MAX_DEPTH = 400
+#: A plain member of fewer than this share of the records of its place is taken for data, not for a name.
+RARE = 0.001
 
 NODE_SCHEMA = (
     "_key bigint, element string, node bigint, parent bigint, pos bigint, name string, label string, attrs string, "
@@ -111,7 +113,17 @@ def schema_graph(df: DataFrame, payload: str) -> DataFrame:
                 )
 
     edges = df.select(payload).mapInPandas(walk, "place string, member string, kind string, records bigint")
-    return edges.groupBy("place", "member", "kind").agg(F.sum("records").alias("records"))
+    counted = edges.groupBy("place", "member", "kind").agg(F.sum("records").alias("records"))
+    # Plain members that are rare at their place are data used as names (files, authors): they become '*',
+    # so that the graph stays as small as the formats are.
+    most = F.max("records").over(Window.partitionBy("place"))
+    rare = (F.col("kind").isin("scalar", "null")) & (F.col("records") < RARE * F.col("most")) & (F.col("member") != "[]")
+    return (
+        counted.withColumn("most", most)
+        .withColumn("member", F.when(rare, F.lit("*")).otherwise(F.col("member")))
+        .groupBy("place", "member", "kind")
+        .agg(F.sum("records").alias("records"))
+    )
 
 
 @dataclass(frozen=True)
@@ -184,7 +196,7 @@ def plan_tables(edges: Iterable[tuple[str, str, str, int]], merge: dict[str, str
         for m in members:
             names.update(items[m])
         most = max(names.values(), default=0)
-        item_names = frozenset(k for k, n in names.items() if n >= 0.001 * most)
+        item_names = frozenset(k for k, n in names.items() if n >= RARE * most and k != '*')
         keyed = frozenset(m for m in members if as_object[m] and sum(objects[m][k] for k in objects[m] if k not in item_names) > 0)
         for m in members:
             elements[m] = Element(name, frozenset(members), keyed, item_names)
