@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_secrets"]
+MODULES = ["q_secrets", "q_quantiles"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
