@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_secrets", "q_quantiles"]
+MODULES = ["q_secrets", "q_quantiles", "q_leakage", "q_encodings"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
