@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ OPENING_ITEMS, OPENING_SHARE = 5, 0.01
 BLOCK_ITEMS = 5_000
 #: Words by which an alignment may leave the diagonal of its region.
 SLACK = 30
+#: Equal words in a row that are no chance agreement of two texts of one pattern.
+RUN = 3
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--|-->")
 _WORD = re.compile(r"[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-ÿ])|[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+|\d+|[^\W\d_A-Za-zÀ-ÿ぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]")
@@ -152,22 +155,25 @@ class Index:
 
 
 def _aligned(a: list[str], b: list[str], low: int, high: int) -> int:
-    """Longest common subsequence of words with b's index minus a's index between ``low`` and ``high``."""
-    width = high - low + 1
-    prev = [0] * (width + 2)  # prev[d + 1]: best up to (i - 1, i - 1 + low + d)
-    for i, x in enumerate(a):
-        cur = [0] * (width + 2)
-        for d in range(width):
-            j = i + low + d
-            if j < 0:
-                continue
-            up, left = prev[d + 2], cur[d]
-            value = up if up > left else left
-            if j < len(b) and b[j] == x and prev[d + 1] + 1 > value:
-                value = prev[d + 1] + 1
-            cur[d + 1] = value
-        prev = cur
-    return max(prev)
+    """Words of ``a`` that stand in ``b`` in order, with b's index minus a's index between ``low`` and ``high``.
+
+    Only words in runs of at least RUN equal words count: two texts of one pattern, with other names and
+    numbers, agree in many single words but in no runs. The longest alignment over the cells of the runs is
+    the longest chain of them that rises in both texts.
+    """
+    grams: dict[tuple[str, ...], list[int]] = defaultdict(list)
+    for i in range(len(a) - RUN + 1):
+        grams[tuple(a[i : i + RUN])].append(i)
+    cells = set()
+    for j in range(len(b) - RUN + 1):
+        for i in grams.get(tuple(b[j : j + RUN]), ()):
+            if low <= j - i <= high:
+                cells.update((i + k, -(j + k)) for k in range(RUN))
+    tails: list[int] = []
+    for _, j in sorted(cells):
+        at = bisect_left(tails, -j)
+        tails[at : at + 1] = [-j]
+    return len(tails)
 
 
 def carries(doc: list[str], item: list[str], need: int, low: int, high: int) -> bool:
