@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["q_secrets", "q_quantiles", "q_leakage", "q_encodings", "q_mixing", "q_handwritten"]
+MODULES = ["q_handwritten", "q_secrets", "q_quantiles", "q_syntax", "q_leakage", "q_mixing", "q_encodings"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
