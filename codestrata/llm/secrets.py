@@ -29,7 +29,7 @@ MIN_RESCAN = 8
 
 _TEXTS = "tbl string, row_key bigint, repo string, text string"
 _CANDIDATES = (
-    "tbl string, row_key bigint, repo string, line_no int, value string, evidence string, signature string, "
+    "tbl string, row_key bigint, repo string, line_no int, value string, evidence string, signature string, skip int, "
     "spans array<struct<s int, e int>>"
 )
 _PREFILTER = (
@@ -49,20 +49,21 @@ def extract(texts: DataFrame) -> DataFrame:
     """Candidate literals of every text (``_CANDIDATES``)."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["tbl", "row_key", "repo", "line_no", "value", "evidence", "signature", "spans"]
+        columns = ["tbl", "row_key", "repo", "line_no", "value", "evidence", "signature", "skip", "spans"]
         for pdf in batches:
             out = []
             for tbl, key, repo, text in zip(pdf["tbl"], pdf["row_key"], pdf["repo"], pdf["text"], strict=True):
                 for c in rules.candidates(text):
                     # A literal in pieces is known elsewhere by the source of its first line.
-                    signature = c.value
+                    signature, skip = c.value, 0
                     if c.pieces:
-                        stop = text.find("\n", c.start)
-                        signature = text[c.start - 1 : min(stop if stop >= 0 else c.end, c.end)].rstrip()
+                        begin, stop = text.rfind("\n", 0, c.start) + 1, text.find("\n", c.start)
+                        begin += len(text[begin : c.start]) - len(text[begin : c.start].lstrip())
+                        signature, skip = text[begin : min(stop if stop >= 0 else c.end, c.end)].rstrip(), c.start - 1 - begin
                     elif c.value.startswith("-----BEGIN"):
                         signature = ""
                     spans = [{"s": a, "e": b} for a, b in c.pieces or ((c.start, c.end),)]
-                    out.append((tbl, key, repo, text.count("\n", 0, c.start) + 1, c.value, c.evidence, signature, spans))
+                    out.append((tbl, key, repo, text.count("\n", 0, c.start) + 1, c.value, c.evidence, signature, skip, spans))
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
@@ -71,48 +72,48 @@ def extract(texts: DataFrame) -> DataFrame:
 
 def confirmed(candidates: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """The literals of at most ``max_owners`` owners (a null repository is an owner of its own)."""
-    owners = candidates.select("value", F.coalesce("repo", F.lit("")).alias("repo"), "signature").distinct()
-    per = owners.groupBy("value").agg(F.countDistinct("repo").alias("owners"), F.max("signature").alias("signature"))
-    return per.filter(F.col("owners") <= max_owners)
+    owners = candidates.select("value", F.coalesce("repo", F.lit("")).alias("repo"), F.struct("signature", "skip").alias("s")).distinct()
+    per = owners.groupBy("value").agg(F.countDistinct("repo").alias("owners"), F.max("s").alias("s"))
+    return per.filter(F.col("owners") <= max_owners).select("value", "owners", "s.*")
 
 
 _automata: dict = {}
 
 
-def _automaton(key, patterns: list[str]):
+def _automaton(key, patterns: list[tuple[str, int]]):
     import ahocorasick
 
     if key not in _automata:
         _automata.clear()
         auto = ahocorasick.Automaton()
-        for p in patterns:
-            auto.add_word(p, p)
+        for p, skip in patterns:
+            auto.add_word(p, (p, skip))
         auto.make_automaton()
         _automata[key] = auto
     return _automata[key]
 
 
 def _occurrences(auto, text: str) -> Iterator[tuple[int, int]]:
-    for last, pattern in auto.iter(text):
+    for last, (pattern, skip) in auto.iter(text):
         start, end = last - len(pattern) + 1, last + 1
         if start and pattern[0].isalnum() and (text[start - 1].isalnum() or text[start - 1] == "_"):
             continue
         if end < len(text) and pattern[-1].isalnum() and (text[end].isalnum() or text[end] == "_"):
             continue
-        yield start, end
+        yield start + skip, end
 
 
 def rescan(texts: DataFrame, secrets: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``tbl, row_key, line_no, spans`` of every occurrence of a confirmed secret in any text."""
     spark = texts.sparkSession
     schema = "tbl string, row_key bigint, line_no int, spans array<struct<s int, e int>>"
-    known = secrets.filter(F.length("signature") >= MIN_RESCAN).select(F.col("signature").alias("p")).distinct()
+    known = secrets.filter(F.length("signature") >= MIN_RESCAN).groupBy(F.col("signature").alias("p")).agg(F.max("skip").alias("skip"))
     total = known.agg(F.sum(F.length("p"))).first()[0] or 0
     blocks = int(total // block_chars) + 1
     out = None
     for block in range(blocks if total else 0):
         mine = known.filter(F.pmod(F.xxhash64("p"), F.lit(blocks)) == block) if blocks > 1 else known
-        patterns = spark.sparkContext.broadcast([r[0] for r in mine.collect()])
+        patterns = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
         if not patterns.value:
             continue
 
