@@ -34,7 +34,7 @@ def weighted_mean(score: Column, weight: Column, skip_zero: bool = True) -> Colu
     use = s.isNotNull() & w.isNotNull() & ((s > 0) if skip_zero else F.lit(True))
     total = F.sum(F.when(use, w))
     mean = F.sum(F.when(use, s * w)).cast("double") / F.nullif(total, F.lit(0)).cast("double")
-    return F.coalesce(F.bround(mean, 1), F.lit(0.0))
+    return F.coalesce(F.bround(F.round(mean, 6), 1), F.lit(0.0))
 
 
 def risk_level(overall: Column, alarm: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import severity as sev
@@ -27,7 +27,12 @@ def _findings(spark: SparkSession, sf_dir: str, *snapshots: int) -> DataFrame:
 _S = """s AS (SELECT * FROM category_scores QUALIFY row_number() OVER (PARTITION BY repo, snapshot_no, category ORDER BY loaded_at DESC, row_id DESC) = 1)"""
 _F = r"""f AS (SELECT * REPLACE (lower(trim(severity)) AS severity, coalesce(regexp_replace(replace(file_path, '\', '/'), '^(\./)+', ''), '') AS file_path, coalesce(line_start, -1) AS line_start) FROM findings
   QUALIFY row_number() OVER (PARTITION BY repo, snapshot_no, category, rule_id, coalesce(regexp_replace(replace(file_path, '\', '/'), '^(\./)+', ''), ''), coalesce(line_start, -1) ORDER BY loaded_at DESC, row_id DESC) = 1)"""
-_MEAN = """coalesce(round_even((sum(score::DECIMAL(12,4) * weight::DECIMAL(8,4)) FILTER (score > 0))::DOUBLE / nullif((sum(weight::DECIMAL(8,4)) FILTER (score > 0))::DOUBLE, 0), 1), 0.0)"""
+_MEAN = """coalesce(round_even(round((sum(score::DECIMAL(12,4) * weight::DECIMAL(8,4)) FILTER (score > 0))::DOUBLE / nullif((sum(weight::DECIMAL(8,4)) FILTER (score > 0))::DOUBLE, 0), 6), 1), 0.0)"""
+
+
+def _exact_mean(name: str) -> Column:
+    """A mean whose sum does not depend on the order of the rows."""
+    return F.sum(F.col(name).cast("decimal(18,6)")).cast("double") / F.count(name)
 
 
 def agg1_overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +189,7 @@ def agg15_benchmark_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG15, AGG16, D21: average, extremes and sample deviation of the mean times per repository, 0.0 for a single run; hit rate."""
     b = latest(table(spark, sf_dir, "benchmark_results"), ["run_id"], F.desc("loaded_at")).filter("repo_name IS NOT NULL AND avg_time_ms IS NOT NULL AND NOT isnan(avg_time_ms)")
     out = b.groupBy("repo_name").agg(
-        F.count("*").alias("runs"), F.round(F.avg("avg_time_ms"), 6).alias("avg_ms"), F.min("avg_time_ms").alias("min_ms"), F.max("avg_time_ms").alias("max_ms"),
+        F.count("*").alias("runs"), _exact_mean("avg_time_ms").alias("avg_ms"), F.min("avg_time_ms").alias("min_ms"), F.max("avg_time_ms").alias("max_ms"),
         F.round(F.coalesce(F.stddev_samp("avg_time_ms"), F.lit(0.0)), 6).alias("stdev_ms"), F.sum("cache_hits").alias("hits"), F.sum("cache_misses").alias("misses"),
     )
     total = F.col("hits") + F.col("misses")
@@ -213,7 +218,7 @@ def misc12_joined_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = (s.filter(f"snapshot_no = {n}").select("repo", "category", F.col("score").alias(c)) for n, c in ((1, "a"), (8, "b")))
     j = first.join(last, ["repo", "category"])
     return j.groupBy("category").agg(
-        F.round(F.avg("a"), 6).alias("avg_first"), F.round(F.avg("b"), 6).alias("avg_last"), F.count("*").alias("n"), F.count_if((F.col("a") >= STRONG) == (F.col("b") >= STRONG)).alias("agree")
+        _exact_mean("a").alias("avg_first"), _exact_mean("b").alias("avg_last"), F.count("*").alias("n"), F.count_if((F.col("a") >= STRONG) == (F.col("b") >= STRONG)).alias("agree")
     )
 
 
@@ -270,12 +275,12 @@ p AS (SELECT repo, 'critical-vulnerabilities' AS policy, CASE WHEN c > 0 THEN 2
   UNION ALL SELECT repo, 'max-complexity', CASE WHEN m > 15 THEN 2 ELSE 0 END, round_even(m, 1) FROM a UNION ALL SELECT repo, 'outdated', CASE WHEN o > 10 THEN 1 ELSE 0 END, o FROM a
   UNION ALL SELECT repo, 'secret-words', CASE WHEN s > 0 THEN 2 ELSE 0 END, s FROM a)
 SELECT repo, policy, ['ALLOW', 'WARN', 'DENY'][d + 1] AS decision, value, ['ALLOW', 'WARN', 'DENY'][max(d) OVER (PARTITION BY repo) + 1] AS overall FROM p""",
-    "agg15_benchmark_stats": f"""WITH {_B} SELECT repo_name, count(*) AS runs, round(avg(avg_time_ms), 6) AS avg_ms, min(avg_time_ms) AS min_ms, max(avg_time_ms) AS max_ms, round(coalesce(stddev_samp(avg_time_ms), 0), 6) AS stdev_ms,
+    "agg15_benchmark_stats": f"""WITH {_B} SELECT repo_name, count(*) AS runs, sum(avg_time_ms::DECIMAL(18,6))::DOUBLE / count(avg_time_ms) AS avg_ms, min(avg_time_ms) AS min_ms, max(avg_time_ms) AS max_ms, round(coalesce(stddev_samp(avg_time_ms), 0), 6) AS stdev_ms,
   sum(cache_hits)::BIGINT AS hits, sum(cache_misses)::BIGINT AS misses, CASE WHEN sum(cache_hits) + sum(cache_misses) > 0 THEN sum(cache_hits)::DOUBLE / (sum(cache_hits) + sum(cache_misses))::DOUBLE ELSE 0 END AS hit_rate
 FROM b WHERE repo_name IS NOT NULL AND avg_time_ms IS NOT NULL AND NOT isnan(avg_time_ms) GROUP BY 1""",
     "jn5_paired_runs": f"""WITH {_B}, n AS (SELECT repo_name, run_id, month(started_at) AS m, row_number() OVER (PARTITION BY repo_name, month(started_at) ORDER BY started_at, run_id) AS n FROM b WHERE repo_name IS NOT NULL)
 SELECT x.repo_name, x.n::INTEGER AS n, x.run_id AS a, y.run_id AS b FROM n x JOIN n y ON x.repo_name = y.repo_name AND x.n = y.n WHERE x.m = 3 AND y.m = 4""",
     "flt12_search_sort": f"WITH {_S}, {_OVERALL} SELECT repo, overall_score, risk_level, CASE WHEN overall_score >= 70 THEN 'OK' WHEN overall_score >= 40 THEN 'WARN' ELSE 'FAIL' END AS status FROM r WHERE snapshot_no = 8 AND (contains(lower(repo), 'harbor') OR risk_level = 'critical')",
-    "misc12_joined_weights": f"""WITH {_S} SELECT a.category, round(avg(a.score), 6) AS avg_first, round(avg(b.score), 6) AS avg_last, count(*) AS n, count(*) FILTER ((a.score >= 80) = (b.score >= 80)) AS agree
+    "misc12_joined_weights": f"""WITH {_S} SELECT a.category, sum(a.score::DECIMAL(18,6))::DOUBLE / count(a.score) AS avg_first, sum(b.score::DECIMAL(18,6))::DOUBLE / count(b.score) AS avg_last, count(*) AS n, count(*) FILTER ((a.score >= 80) = (b.score >= 80)) AS agree
 FROM s a JOIN s b ON a.repo = b.repo AND a.category = b.category WHERE a.snapshot_no = 1 AND b.snapshot_no = 8 AND a.score IS NOT NULL AND b.score IS NOT NULL GROUP BY 1""",
 }

@@ -44,7 +44,7 @@ def scan_repository(spark: SparkSession, root: str, repo: str | None = None, inc
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base.removeprefix("file://")) + "/", "")
     rows = files.select(path.alias("path"), "content").filter(~excluded("path", exclude, by_segment=True) & included("path", include))
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\ufffd", "")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
     return rows.select(F.lit(repo or Path(base).name).alias("repo"), "path", F.xxhash64("path").alias("ord"), text.alias("content"))
 
 
