@@ -38,7 +38,7 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 tokens.update(TOKEN.findall(text))
             for token, n in tokens.items():
-                for gram in ngrams(token[:2000]) if len(token) <= 2000 else (g for i in range(0, len(token), 1998) for g in ngrams(token[i : i + 2000])):
+                for gram in ngrams(token):
                     total[gram] += n
             if len(total) > 200_000:
                 yield pd.DataFrame(total.items(), columns=["gram", "n"])

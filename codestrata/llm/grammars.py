@@ -1,7 +1,9 @@
 """Grammars in the notation of ``derivatives.Grammar``, written from the public language definitions.
 
 Precedence of operators does not matter for validity, so expressions are flat: operands joined by operators.
-None is left-recursive. Where a language has one text with two readings (targets and expressions, arrow
+None is left-recursive, and what two readings share is written once: a choice that stays open inside brackets would
+double the state with every level of nesting. What stands left of an assignment is read as an expression where it
+may hold brackets. Where a language has one text with two readings (targets and expressions, arrow
 parameters and parentheses, types and comparisons) both are kept until one fails.
 """
 
@@ -44,12 +46,11 @@ simpleline: simple (';' simple)* ';'? NEWLINE
 simple: assignment | starexprs | 'return' starexprs? | import | 'raise' (expr ('from' expr)?)? | 'pass' | 'del' targets
   | yieldexpr | 'assert' expr (',' expr)? | 'break' | 'continue' | 'global' ident (',' ident)* | 'nonlocal' ident (',' ident)*
   | 'type' ident typeparams? '=' expr
-assignment: (targets '=')+ (yieldexpr | starexprs) | single AUG (yieldexpr | starexprs) | single ':' expr ('=' (yieldexpr | starexprs))?
-  | '(' single ')' ':' expr ('=' (yieldexpr | starexprs))?
+assignment: (targets '=')+ (yieldexpr | starexprs) | target (AUG (yieldexpr | starexprs) | ':' expr ('=' (yieldexpr | starexprs))?)
 targets: startarget (',' startarget)* ','?
 startarget: '*'? target
-target: single | '(' targets? ')' | '[' targets? ']'
-single: ident | '(' single ')' | atom trailer* ('.' ident | '[' slices ']')
+target: ident | group | atom trailer* ('.' ident | '[' slices ']')
+group: '(' (yieldexpr | starnamed (compfor | (',' starnamed)* ','?))? ')' | '[' (starnamed (compfor | (',' starnamed)* ','?))? ']'
 import: 'import' dotted ('as' ident)? (',' dotted ('as' ident)?)* | 'from' ('.' | '...')* dotted 'import' imported | 'from' ('.' | '...')+ 'import' imported
 imported: '*' | '(' names ','? ')' | names
 names: ident ('as' ident)? (',' ident ('as' ident)?)*
@@ -107,16 +108,16 @@ binop: BIN | '*' | '**' | '+' | '-' | '|' | '@' | '/'
 unary: ('+' | '-' | '~')* 'await'? atom trailer*
 trailer: '.' ident | '(' args? ')' | '[' slices ']'
 slices: slice (',' slice)* ','?
-slice: expr? ':' expr? (':' expr?)? | named | '*' bitor
-args: posarg (',' posarg)* (',' kwargs)? ','? | kwargs ','? | named compfor
+slice: ':' expr? (':' expr?)? | named (':' expr? (':' expr?)?)? | '*' bitor
+args: posarg (compfor | (',' posarg)* (',' kwargs)? ','?) | kwargs ','?
 posarg: '*' expr | named
 kwargs: (kw | '*' expr) (',' (kw | '*' expr))* (',' (kw | '**' expr))* | (kw | '**' expr) (',' (kw | '**' expr))*
 kw: ident '=' expr
-atom: ident | NUM | strings | 'None' | 'True' | 'False' | '...' | '(' (yieldexpr | starnamed (compfor | (',' starnamed)* ','?))? ')'
-  | '[' (starnamed (compfor | (',' starnamed)* ','?))? ']' | '{' (dictitem (compfor | (',' dictitem)* ','?) | starnamed (compfor | (',' starnamed)* ','?))? '}'
+atom: ident | NUM | strings | 'None' | 'True' | 'False' | '...' | group
+  | '{' (dictitem (compfor | (',' dictitem)* ','?) | starnamed (compfor | (',' starnamed)* ','?))? '}'
 dictitem: expr ':' expr | '**' bitor
 compfor: ('async'? 'for' targets 'in' disj ('if' (disj | lambda))*)+
-strings: (STR | fstring)+
+strings: (STR | fstring)+ | BYTES+
 fstring: FSTART (FOPEN (yieldexpr | starexprs) CONV? FSPEC? FCLOSE)* FEND
 ident: NAME | 'match' | 'case' | 'type' | '_'
 """
@@ -131,22 +132,23 @@ stmt: block | declaration | ';' | exprstmt | if | for | 'while' '(' expr ')' stm
 declaration: ('var' | 'let' | 'const') binding (',' binding)* term | function | class @DECL
 exprstmt: expr_s term
 if: 'if' '(' expr ')' stmt ('else' stmt)?
-for: 'for' '(' forhead ')' stmt | 'for' 'await' '(' forbind 'of' assign ')' stmt
-forhead: ('var' | 'let' | 'const') binding_nv (',' binding_nv)* ';' expr? ';' expr? | expr_s? ';' expr? ';' expr? | forbind ('of' assign | 'in' expr)
-forbind: ('var' | 'let' | 'const') (ident | pattern) | lhs | pattern
+for: 'for' 'await'? '(' forhead ')' stmt
+forhead: ('var' | 'let' | 'const') (binding_nv (',' binding_nv)* ';' expr? ';' expr? | (ident | pattern) ('of' assign | 'in' expr))
+  | ';' expr? ';' expr? | expr_f (';' expr? ';' expr? | 'of' assign)?
+expr_f: assign_b (',' assign)* | '{' (prop (',' prop)* ','?)? '}'
 switch: 'switch' '(' expr ')' '{' ('case' expr ':' stmt* | 'default' ':' stmt*)* '}'
 try: 'try' block ('catch' ('(' (ident | pattern) @ANN? ')')? block ('finally' block)? | 'finally' block)
 binding: (ident | pattern) @BANG? @ANN? ('=' assign)?
 binding_nv: (ident | pattern) @ANN? ('=' assign)?
-pattern: '{' (propbind (',' propbind)* ','? | (propbind ',')* '...' (ident | pattern) ','?)? '}' | '[' ','* (elembind (','+ elembind)* ','*)? ('...' (ident | pattern | lhs))? ']'
-propbind: ident ('=' assign)? | propname ':' (ident | pattern | lhs) ('=' assign)?
-elembind: (ident | pattern | lhs) ('=' assign)?
+pattern: '{' (propbind (',' propbind)* ','? | (propbind ',')* '...' (ident | pattern) ','?)? '}' | '[' ','* (elembind (','+ elembind)* ','*)? ('...' (ident | pattern))? ']'
+propbind: ident ('=' assign)? | propname ':' (ident | pattern) ('=' assign)?
+elembind: (ident | pattern) ('=' assign)?
 params: param (',' param)* (',' rest)? ','? | rest
 param: @PMOD (ident | pattern | @THIS) @OPT @ANN? ('=' assign)?
 rest: '...' (ident | pattern) @ANN?
 function: 'async'? 'function' '*'? ident @TPAR? '(' params? ')' @RET? fbody | 'async'? 'function' '*'? @TPAR? '(' params? ')' @RET? fbody
 fbody: '{' stmt* '}' @NOBODY
-class: @DECOR 'class' classname? @TPAR? ('extends' lhs @TARGS?)? @IMPL '{' (member | ';')* '}'
+class: @DECOR 'class' classname? @TPAR? ('extends' chain @TARGS?)? @IMPL '{' (member | ';')* '}'
 classname: ident
 member: @DECOR @CMOD* (@MEMBERS | method | field)
 method: ('async' | 'get' | 'set')? '*'? membername @OPT @TPAR? '(' params? ')' @RET? mbody | 'async' '*' membername @TPAR? '(' params? ')' @RET? mbody
@@ -163,10 +165,9 @@ export: 'export' (@ITYPE ('*' ('as' (anyname | STR))? 'from' STR term | '{' (exp
 exportspec: @ITYPE1 (anyname | STR) ('as' (anyname | STR))?
 expr: assign (',' assign)*
 expr_s: assign_s (',' assign)*
-assign: arrow | 'yield' ('*'? assign)? | lhs ASSIGN assign | lhs '=' assign | pattern '=' assign | cond
-assign_s: arrow | 'yield' ('*'? assign)? | lhs_s ASSIGN assign | lhs_s '=' assign | apattern '=' assign | cond_s
-assign_b: arrow | 'yield' ('*'? assign)? | lhs_b ASSIGN assign | lhs_b '=' assign | apattern '=' assign | cond_b
-apattern: '[' ','* (elembind (','+ elembind)* ','*)? ('...' (ident | pattern | lhs))? ']'
+assign: arrow | 'yield' ('*'? assign)? | cond ((ASSIGN | '=') assign)?
+assign_s: arrow | 'yield' ('*'? assign)? | cond_s ((ASSIGN | '=') assign)?
+assign_b: arrow | 'yield' ('*'? assign)? | cond_b ((ASSIGN | '=') assign)?
 arrow: 'async'? (ident | @TPAR? '(' params? ')' @RET?) '=>' ('{' stmt* '}' | assign_b)
 cond: binary ('?' assign ':' assign)?
 cond_s: binary_s ('?' assign ':' assign)?
@@ -186,11 +187,6 @@ chain: primary suffix*
 chain_s: primary_s suffix*
 chain_b: primary_b suffix*
 suffix: '.' (anyname | PRIVATE) | '?.' (anyname | PRIVATE | '[' expr ']' | @TARGS? '(' args? ')') | '[' expr ']' | @TARGS? '(' args? ')' | template @SUFFIX
-lhs: ident @SUF0 | chain lsuffix | '(' lhs ')' suffix0
-suffix0: @SUF0
-lhs_s: ident @SUF0 | chain_s lsuffix | '(' lhs ')'
-lhs_b: ident @SUF0 | chain_b lsuffix | '(' lhs ')'
-lsuffix: '.' (anyname | PRIVATE) @SUF0 | '[' expr ']' @SUF0
 args: arg (',' arg)* ','?
 arg: '...'? assign
 primary: primary_s | '{' (prop (',' prop)* ','?)? '}' | function | class
@@ -200,7 +196,7 @@ primary_b: primary_s | function | class
 newtarget: newchain (@TARGS? '(' args? ')')? @NEWARGS
 newchain: 'new'* newprimary ('.' (anyname | PRIVATE) | '[' expr ']' | template)*
 newprimary: ident | 'this' | 'super' | function | class | '(' expr ')' | 'new' '.' anyname | 'import' '.' anyname | '[' ','* (arg (','+ arg)* ','*)? ']' | STR
-prop: ident | propname ':' assign | '...' assign | pmethod
+prop: ident ('=' assign)? | propname ':' assign | '...' assign | pmethod
 pmethod: ('async' | 'get' | 'set')? '*'? propname @TPAR? '(' params? ')' @RET? '{' stmt* '}' | 'async' '*' propname @TPAR? '(' params? ')' @RET? '{' stmt* '}'
 template: TEMPLATE | THEAD expr (TMIDDLE expr)* TTAIL
 """
@@ -253,7 +249,7 @@ _TS_HOLES = {
 _TS_TYPES = """
 tparams: '<' tparam (',' tparam)* ','? '>'
 tparam: ('const' | 'in' | 'out')* ident ('extends' type)? ('=' type)?
-targs: '<' type (',' type)* '>'
+targs: ('<' | LTYPE) type (',' type)* '>'
 rettype: type | 'asserts'? (ident | 'this') 'is' type | 'asserts' (ident | 'this')
 type: 'abstract'? 'new' tparams? '(' tyargs? ')' '=>' type | tparams? '(' tyargs? ')' '=>' rettype | union ('extends' type '?' type ':' type)?
 tyargs: tyarg (',' tyarg)* ','?
@@ -323,7 +319,7 @@ local: pmod* type declarator (',' declarator)*
 stmt: block | ';' | stmtexpr ';' | 'if' '(' expr ')' stmt ('else' stmt)? | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' ';' | for | switch
   | 'return' expr? ';' | 'break' ident? ';' | 'continue' ident? ';' | 'throw' expr ';' | 'synchronized' '(' expr ')' block | try | ident ':' stmt
   | 'assert' expr (':' expr)? ';' | 'yield' expr ';'
-stmtexpr: lhs ASSIGN expr | lhs '=' expr | lhs '>' '>=' expr | lhs '>' '>' '>=' expr | ('++' | '--') unary | chain ('++' | '--') | chain0
+stmtexpr: ('++' | '--') unary | chain ((ASSIGN | '=' | '>' '>=' | '>' '>' '>=') expr | '++' | '--')?
 for: 'for' '(' ((local | stmtexpr (',' stmtexpr)*)? ';' expr? ';' (stmtexpr (',' stmtexpr)*)? | pmod* type ident dims ':' expr) ')' stmt
 switch: 'switch' '(' expr ')' '{' (label+ blockstmt*)* rule* '}'
 label: ('case' caseitem (',' caseitem)* | 'default') ':'
@@ -331,16 +327,15 @@ rule: ('case' caseitem (',' caseitem)* | 'default') '->' (expr ';' | block | 'th
 caseitem: cond
 try: 'try' ('(' resource (';' resource)* ';'? ')')? block ('catch' '(' pmod* type ('|' type)* ident ')' block)* ('finally' block)?
 resource: pmod* type ident '=' expr | chain
-expr: lambda | lhs ASSIGN expr | lhs '=' expr | lhs '>' '>=' expr | lhs '>' '>' '>=' expr | cond
-lambda: (ident | '(' (ident (',' ident)*)? ')' | '(' params ')') '->' (expr | block)
-cond: binary ('?' expr ':' (cond | lambda))?
+expr: cond ((ASSIGN | '=') expr)?
+lambda: (ident | '(' (lparam (',' lparam)*)? ')') '->' (expr | block)
+lparam: ident | param
+cond: binary ('?' expr ':' cond)?
 binary: unary (binop unary | 'instanceof' 'final'? annotation* type ident?)*
-binop: BIN | '<' | '>' | '>' '>' | '>' '>' '>' | '>=' | '&' | '-' | '+' | '|'
+binop: BIN | '<' | '>' | '>' '>' | '>' '>' '>' | '>' '>=' | '>' '>' '>=' | '>=' | '&' | '-' | '+' | '|'
 unary: ('+' | '-' | '!' | '~' | '++' | '--' | cast)* (chain ('++' | '--')* | lambda | 'switch' '(' expr ')' '{' (label+ blockstmt*)* rule* '}')
 cast: '(' type ('&' type)* ')'
-lhs: ident | chain ('.' ident | '[' expr ']') | '(' lhs ')'
 chain: primary suffix*
-chain0: primary suffix* ('.' targs0? (ident | 'super' | 'this') '(' args? ')' | '(' args? ')') | new
 targs0: '<' types '>'
 suffix: '.' targs0? (ident | 'this' | 'class' | 'super') | '.' new | '(' args? ')' | '[' expr ']' | '::' targs0? (ident | 'new')
 primary: LIT | ident | 'this' | 'super' | '(' expr ')' | new | (PRIM | 'void') ('[' ']')* ('.' 'class' | '::' 'new') | ident targs? ('.' ident targs?)* ('[' ']')* ('.' 'class' | '::' (ident | 'new'))
@@ -379,24 +374,25 @@ elem: NAME signature | constraint
 block: '{' stmts '}'
 stmts: stmt? (';' stmt?)*
 stmt: decl | simple | 'return' exprs? | 'break' NAME? | 'continue' NAME? | 'goto' NAME | 'fallthrough' | block | if | switch | select | for | 'go' expr | 'defer' expr | NAME ':' stmt?
-simple: expr | expr '<-' expr | expr ('++' | '--') | exprs (ASSIGN | '=' | ':=') exprs
+simple: exprs ('<-' expr | '++' | '--' | (ASSIGN | '=' | ':=') exprs)?
 exprs: expr (',' expr)*
-if: 'if' (simple? ';')? expr block ('else' (if | block))?
-switch: 'switch' (simple? ';')? (simple | (NAME ':=')? chain '.' '(' 'type' ')')? '{' (('case' caselist | 'default') ':' stmts)* '}'
+if: 'if' (simple (';' expr)? | ';' expr) block ('else' (if | block))?
+switch: 'switch' simple? (';' simple?)? '{' (('case' caselist | 'default') ':' stmts)* '}'
 caselist: casetype (',' casetype)*
 casetype: expr | type
-select: 'select' '{' (('case' (simple | exprs ('=' | ':=') expr) | 'default') ':' stmts)* '}'
-for: 'for' (expr | simple? ';' expr? ';' simple? | (exprs ('=' | ':='))? 'range' expr)? block
+select: 'select' '{' (('case' simple | 'default') ':' stmts)* '}'
+for: 'for' ('range' expr | clauses | exprs (('=' | ':=') ('range' expr | exprs clauses) | ASSIGN exprs clauses | ('++' | '--') clauses | '<-' expr clauses | clauses)?)? block
+clauses: ';' expr? ';' simple?
 expr: unary (binop unary)*
 binop: BIN | '*' | '+' | '-' | '&' | '|' | '^'
 unary: ('+' | '-' | '!' | '^' | '*' | '&' | '<-' | '~')* chain
 chain: primary suffix*
-suffix: '.' NAME | '.' '(' (type | 'type') ')' | '[' (expr | type) (',' type)* ','? ']' | '[' expr? ':' expr? (':' expr)? ']' | '(' (args ','?)? ')' | literal
+suffix: '.' NAME | '.' '(' (type | 'type') ')' | '[' (':' expr? (':' expr)? | expr ((',' type)* ','? | ':' expr? (':' expr)?) | type (',' type)* ','?) ']' | '(' (args ','?)? ')' | literal
 args: (expr | type) (',' (expr | type))* '...'?
 primary: LIT | STR | NAME | '(' (expr | type) ')' | 'func' signature block | conv (literal | '(' expr ','? ')')
 conv: '[' ']' type | '[' (expr | '...') ']' type | 'struct' '{' (field (';' field)* ';'?)? '}' | 'map' '[' type ']' type | 'chan' '<-'? type | 'interface' '{' (elem (';' elem)* ';'?)? '}' | '<-' 'chan' type
 literal: '{' (element (',' element)* ','?)? '}'
-element: (value ':')? value
+element: value (':' value)?
 value: expr | literal
 """
 

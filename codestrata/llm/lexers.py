@@ -537,7 +537,7 @@ def _py_token(text: str, m: re.Match, kinds: list[str], places: list[int], brack
             return -1
         if "b" in prefix and not body[0].isascii():
             return -1
-        kinds.append("STR")
+        kinds.append("BYTES" if "b" in prefix else "STR")
         places.append(at)
         return body.end()
     if kind == "NUM":
@@ -688,6 +688,26 @@ _JS_REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\r\n\u2028\u2029]|\\[^\r\n\u2028\u20
 _OPERAND = frozenset(["NAME", "NUM", "STR", "REGEX", "TEMPLATE", "TTAIL", "PRIVATE", ")", "]", "}", "this", "super", "null", "true", "false", "++", "--"])
 
 
+_TYPE_CHARS = re.compile(r"[\w$.,\s\[\]|&'\":?{};]*")
+
+
+def _type_arguments(text: str, at: int) -> bool:
+    """Whether the ``<`` directly behind a name opens type arguments of a call: balanced, and followed by ``(``."""
+    depth, end = 0, min(len(text), at + 300)
+    while at < end:
+        c = text[at]
+        if c == "<":
+            depth += 1
+        elif c == ">":
+            depth -= 1
+            if not depth:
+                return text[at + 1 : at + 2] == "("
+        else:
+            return False
+        at = _TYPE_CHARS.match(text, at + 1).end()
+    return False
+
+
 def ecma_tokens(text: str, language: str) -> Tokens:
     kinds: list[str] = []
     places: list[int] = []
@@ -706,6 +726,7 @@ def ecma_tokens(text: str, language: str) -> Tokens:
     braces: list[bool] = []  # whether a brace was opened by a template
     parens: list[bool] = []  # whether a parenthesis belongs to if, for, while or with
     heads = False
+    generic = language == "typescript"
     match = _JS.match
     while at < n:
         m = match(text, at)
@@ -768,6 +789,8 @@ def ecma_tokens(text: str, language: str) -> Tokens:
                 parens.append(bool(kinds) and kinds[-1] in ("if", "for", "while", "with"))
             elif c == ")":
                 heads = bool(parens) and parens.pop()
+            elif c == "<" and generic and kinds and kinds[-1] == "NAME" and text[at - 1] not in " \t\n" and _type_arguments(text, at):
+                kind = "LTYPE"
         kinds.append(kind)
         places.append(at)
         fresh.append(new_line)

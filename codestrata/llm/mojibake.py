@@ -21,7 +21,7 @@ SINGLE_BYTE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp437", "cp850", "cp
 MULTI_BYTE = ["cp932", "euc_jp", "gbk", "big5", "euc_kr"]
 # ------------------------------------------------------------------------------------------------------
 
-TOKEN = re.compile(r"[^ \t\r\n]+")
+TOKEN = re.compile(r"[^ \t\r\n]{1,400}")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 _UTF8 = re.compile(
     rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
@@ -29,6 +29,8 @@ _UTF8 = re.compile(
 )
 #: Inline code or a quotation that holds nothing but a few characters: a cited sequence.
 CITED = re.compile(r"(`|``|\"|'|“|„|«|‘)(?P<x>[^\sA-Za-z0-9`\"“”„«»'’]{1,8})(`|``|\"|'|”|“|»|’)")
+_BESIDE = re.compile(r"[A-Za-z][\u0370-\u1fff\u3040-\ud7ff]|[\u0370-\u1fff\u3040-\ud7ff][A-Za-z]")
+_INSIDE = re.compile(r"[A-Za-z][\u0370-\u1fff\u3040-\ud7ff]+[A-Za-z]")
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
 
 
@@ -215,6 +217,16 @@ class Detector:
         self.chains = candidates or chains()
         self._tokens: dict[str, list[tuple[int, float, str]]] = {}
 
+    def _attested(self, token: str) -> bool:
+        """Whether the clean records know every letter. One-byte mistakes and read double bytes always give some
+        text; one of letters never seen is no better than what stands there."""
+        return all(ord(c) < 128 or self.model.uni.get(c, 0) > 0 for c in token)
+
+    @staticmethod
+    def _torn(token: str, chain: Chain) -> bool:
+        """Whether a word would change its script in the middle, which no mistake put right leaves behind."""
+        return bool((_INSIDE if chain.right in MULTI_BYTE else _BESIDE).search(token))
+
     def _gains(self, token: str) -> list[tuple[int, float, str]]:
         got = self._tokens.get(token)
         if got is None:
@@ -223,6 +235,8 @@ class Detector:
                 fixed = undo(token, chain)
                 if fixed is None:
                     continue
+                if chain.right != "utf-8" and (self._torn(fixed, chain) or not self._attested(fixed)):
+                    continue
                 gain = seen.get(fixed)
                 if gain is None:
                     gain = seen[fixed] = self.model.score(fixed) - base
