@@ -247,7 +247,7 @@ _TS_HOLES = {
     "NEWARGS": "| newchain targs",
 }
 _TS_TYPES = """
-tparams: '<' tparam (',' tparam)* ','? '>'
+tparams: ('<' | LTYPE) tparam (',' tparam)* ','? '>'
 tparam: ('const' | 'in' | 'out')* ident ('extends' type)? ('=' type)?
 targs: ('<' | LTYPE) type (',' type)* '>'
 rettype: type | 'asserts'? (ident | 'this') 'is' type | 'asserts' (ident | 'this')
