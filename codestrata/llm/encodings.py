@@ -10,6 +10,7 @@ however large the corpus is; with their context counts they are what is sent to
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,11 +60,11 @@ def train(texts: DataFrame) -> list[tuple[str, int]]:
 def judge(texts: DataFrame, key: str, trigrams: list[tuple[str, int]], margin: float = MARGIN, restore: bool = False) -> DataFrame:
     """``key, evidence, wrong, right, twice, lost, garbled[, restored]`` of every text with a non-ASCII character."""
     shared = texts.sparkSession.sparkContext.broadcast(trigrams)
+    mark = uuid.uuid4().hex  # what a reused worker knows the model by
     schema = f"`{key}` bigint, evidence double, wrong string, right string, twice boolean, lost boolean, garbled boolean"
     schema += ", restored string" if restore else ""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mark = id(shared.value)
         if mark not in _models:
             _models.clear()
             _models[mark] = Detector(Model(shared.value), margin)

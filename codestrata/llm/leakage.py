@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -213,8 +214,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     for start in range(0, len(keys), BLOCK_ITEMS):
         block = spark.sparkContext.broadcast({k: own[k] for k in keys[start : start + BLOCK_ITEMS]})
 
-        def walk(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            mark = id(block.value)
+        mark = uuid.uuid4().hex  # what a reused worker knows the index by
+
+        def walk(batches: Iterator[pd.DataFrame], block=block, mark=mark) -> Iterator[pd.DataFrame]:
             if mark not in _indexes:
                 _indexes.clear()
                 _indexes[mark] = Index(block.value)

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -117,8 +118,10 @@ def rescan(texts: DataFrame, secrets: DataFrame, block_chars: int = BLOCK_CHARS)
         if not patterns.value:
             continue
 
-        def walk(batches: Iterator[pd.DataFrame], patterns=patterns) -> Iterator[pd.DataFrame]:
-            auto = _automaton(patterns.id, patterns.value) if hasattr(patterns, "id") else _automaton(id(patterns), patterns.value)
+        mark = uuid.uuid4().hex  # what a reused worker knows the automaton by
+
+        def walk(batches: Iterator[pd.DataFrame], patterns=patterns, mark=mark) -> Iterator[pd.DataFrame]:
+            auto = _automaton(mark, patterns.value)
             for pdf in batches:
                 rows = []
                 for tbl, key, text in zip(pdf["tbl"], pdf["row_key"], pdf["text"], strict=True):
