@@ -23,11 +23,14 @@ def _parts(findings: DataFrame, size: int) -> DataFrame:
 def json_reports(scores: DataFrame, findings: DataFrame, size: int = DOCUMENT_FINDINGS) -> DataFrame:
     """SNK1, D10: nested JSON documents per repository, with about ``size`` findings each.
 
-    Categories and findings are sorted, so equal inputs give equal text; every part has all categories.
+    Categories and findings are sorted, so equal inputs give equal text; every part has all categories, those of
+    the scores and those of the findings. A category without a score, or a repository without any, has findings only.
     """
     f = _parts(findings, size).groupBy("repo", "part", "category").agg(F.array_sort(F.collect_list(F.struct("file_path", "line_start", "rule_id", "severity", "message"))).alias("findings"))
     some = f.select("repo", "part").distinct()
-    every = scores.join(some, "repo", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    delivered = scores.select("repo", "category", "score", "weight")
+    unscored = f.select("repo", "category").distinct().join(delivered, ["repo", "category"], "left_anti")
+    every = delivered.unionByName(unscored, allowMissingColumns=True).join(some, "repo", "left").withColumn("part", F.coalesce("part", F.lit(0)))
     c = every.join(f, ["repo", "part", "category"], "left")
     cats = c.groupBy("repo", "part").agg(F.array_sort(F.collect_list(F.struct("category", "score", "weight", "findings"))).alias("categories"))
     return cats.select("repo", "part", F.to_json(F.struct(F.col("repo").alias("repository"), "part", "categories")).alias("document"))

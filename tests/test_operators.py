@@ -242,3 +242,16 @@ def test_reports(spark):
     full = json.loads(reports.json_reports(s, f).first().document)
     assert [c["category"] for c in full["categories"]] == ["security", "testing"]
     assert reports.markdown(s).first().document.endswith("| testing | 30.0 | FAIL |\n| security | 90.0 | OK |\n")
+
+
+def test_json_reports_keep_findings_without_a_score(spark):
+    s = spark.createDataFrame([("r", "security", 90.0, 3.0), ("only scores", "testing", 30.0, 2.0)], "repo string, category string, score double, weight double")
+    rows = [("r", "security", "a"), ("r", "complexity", "b"), ("only findings", "complexity", "c")]
+    f = spark.createDataFrame([(*x, "low", None, "x.py", 1) for x in rows], "repo string, category string, rule_id string, severity string, message string, file_path string, line_start int")
+    for size in (1, 10):
+        docs = [json.loads(r.document) for r in reports.json_reports(s, f, size).collect()]
+        got = sorted((d["repository"], c["category"], x["rule_id"]) for d in docs for c in d["categories"] for x in c.get("findings", []))
+        assert got == sorted(rows)
+        names = {(d["repository"], d["part"]): [(c["category"], c.get("score")) for c in d["categories"]] for d in docs}
+        assert {k for k, _ in names} == {"r", "only scores", "only findings"}
+        assert all(x == [("complexity", None), ("security", 90.0)] for (repo, _), x in names.items() if repo == "r")
