@@ -11,13 +11,16 @@ from codestrata.operators.scoring import STRONG, WEAK, default_weight, overall,
 from codestrata.session import table
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN4: the latest delivery of every score."""
-    return latest(table(spark, sf_dir, "category_scores"), ["repo", "snapshot_no", "category"], F.desc("loaded_at"), F.desc("row_id"))
+def _scores(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """WIN4: the latest delivery of every score, or of those in the (repo, snapshot_no) ``of``."""
+    s = table(spark, sf_dir, "category_scores")
+    s = s if of is None else s.join(of, ["repo", "snapshot_no"], "left_semi")
+    return latest(s, ["repo", "snapshot_no", "category"], F.desc("loaded_at"), F.desc("row_id"))
 
 
-def _findings(spark: SparkSession, sf_dir: str, *snapshots: int) -> DataFrame:
+def _findings(spark: SparkSession, sf_dir: str, *snapshots: int, of: DataFrame | None = None) -> DataFrame:
     f = table(spark, sf_dir, "findings")
+    f = f if of is None else f.join(of, ["repo", "snapshot_no"], "left_semi")
     f = f.filter(F.col("snapshot_no").isin(list(snapshots))) if snapshots else f
     path = F.coalesce(F.regexp_replace(F.translate("file_path", "\\", "/"), r"^(\./)+", ""), F.lit(""))
     f = f.withColumn("severity", sev.clean("severity")).withColumn("file_path", path).withColumn("line_start", F.coalesce("line_start", F.lit(-1)))

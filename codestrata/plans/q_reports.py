@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.operators.snapshots import calendars
 from codestrata.plans.q_findings import _F, _S, _findings, _scores
 from codestrata.sources import reports
 from codestrata.streaming.windows import sessions, windowed_counts
-from codestrata.session import table
+from codestrata.session import broadcast_if_small, table
+
+
+def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo, snapshot_no``: the last snapshot that a repository has in either table."""
+    seen = calendars([table(spark, sf_dir, "findings"), table(spark, sf_dir, "category_scores")], "repo", "snapshot_no")
+    return broadcast_if_small(seen.select("repo", F.element_at("calendar", -1).alias("snapshot_no")))
 
 
 def snk1_json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK1: nested result documents of the last snapshot (checked by their shape in the tests)."""
-    return reports.json_reports(_scores(spark, sf_dir).filter("snapshot_no = 8"), _findings(spark, sf_dir, 8))
+    """SNK1: nested result documents of each repository's last snapshot (checked by their shape in the tests)."""
+    last = _last(spark, sf_dir)
+    return reports.json_reports(_scores(spark, sf_dir, last), _findings(spark, sf_dir, of=last))
 
 
 def snk2_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK2: SARIF documents of the last snapshot."""
-    return reports.sarif(_findings(spark, sf_dir, 8).withColumn("ord", F.col("row_id")))
+    """SNK2: SARIF documents of each repository's last snapshot; one that has scores only gives none."""
+    return reports.sarif(_findings(spark, sf_dir, of=_last(spark, sf_dir)).withColumn("ord", F.col("row_id")))
 
 
 def snk3_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,19 @@ def test_json_reports_keep_findings_without_a_score(spark):
         names = {(d["repository"], d["part"]): [(c["category"], c.get("score")) for c in d["categories"]] for d in docs}
         assert {k for k, _ in names} == {"r", "only scores", "only findings"}
         assert all(x == [("complexity", None), ("security", 90.0)] for (repo, _), x in names.items() if repo == "r")
+
+
+def test_reports_are_of_each_last_snapshot(spark, tmp_path):
+    from codestrata.plans import registry
+
+    t = dt.datetime(2025, 1, 1)
+    finds = [(1, 8, "later", "old"), (2, 9, "later", "new"), (3, 2, "earlier", "old"), (4, 3, "earlier", "new"), (5, 8, "then scores", "old")]
+    schema = "row_id bigint, snapshot_no int, repo string, category string, rule_id string, severity string, message string, file_path string, line_start int, line_end int, loaded_at timestamp_ntz"
+    spark.createDataFrame([(i, n, r, "security", rule, "low", None, "x.py", 1, 1, t) for i, n, r, rule in finds], schema).write.parquet(f"{tmp_path}/findings.parquet")
+    schema = "row_id bigint, snapshot_no int, repo string, category string, score double, weight double, loaded_at timestamp_ntz"
+    spark.createDataFrame([(1, 8, "later", "testing", 10.0, 1.0, t), (2, 9, "then scores", "testing", 20.0, 1.0, t)], schema).write.parquet(f"{tmp_path}/category_scores.parquet")
+    docs = [json.loads(r.document) for r in registry.queries()["snk1_json_reports"](spark, str(tmp_path)).collect()]
+    got = {d["repository"]: [(c["category"], c.get("score"), [x["rule_id"] for x in c.get("findings", [])]) for c in d["categories"]] for d in docs}
+    assert got == {"later": [("security", None, ["new"])], "earlier": [("security", None, ["new"])], "then scores": [("testing", 20.0, [])]}
+    sarif = {r.repo: json.loads(r.document)["runs"][0]["tool"]["driver"]["rules"] for r in registry.queries()["snk2_sarif"](spark, str(tmp_path)).collect()}
+    assert {repo: [x["name"] for x in rules] for repo, rules in sarif.items()} == {"later": ["new"], "earlier": ["new"]}
