@@ -345,6 +345,30 @@ def test_vendored_edits_and_no_pairs(spark):
     assert got == dict.fromkeys(range(5), "vendored")
 
 
+def test_vendored_whatever_the_hub(spark):
+    from codestrata.llm import handwritten
+
+    code = lambda name, n: [f"def {name}_{i}(alpha, beta_{i}): return alpha * {i * 37}" for i in range(n)]
+    edited = lambda lines, k: "\n".join([*lines[:k], f"patched_{k} = True", *lines[k:]])
+    # version 2 of a library, edited, where version 1 is held more often
+    one, two = code("both", 12) + code("first", 12), code("both", 12) + code("second", 12)
+    rows = [(f"r{i}", "\n".join(one)) for i in range(4)] + [(f"q{i}", "\n".join(two)) for i in range(2)] + [("p", edited(two, 5))]
+    # two edited copies in one repository, the original once elsewhere
+    for n in range(6):
+        lines = code(f"family{n}", 24)
+        rows += [("hot", edited(lines, 3)), ("hot", edited(lines, 9)), ("origin", "\n".join(lines))]
+    copied = len(rows)
+    # copies within one repository are its own
+    rows += [("own", edited(code("own", 24), k)) for k in range(3)]
+    rows += [(f"s{n}", "\n".join(f"value_{n}_{i} = compute_{n * 7 + i}(thing_{i * n})" for i in range(12))) for n in range(8)]
+    # short files of one idiom that have a rare line in common by chance
+    idiom = [f"for attempt_{i} in range(self.retries): self.step_{i}()" for i in range(8)]
+    rows += [(f"i{n}", "\n".join([*idiom, f"wanted = compute_rare({n // 2})"])) for n in range(0, 120, 2)] + [(f"i{n}", "\n".join([*idiom, f"wanted = compute_rare({n // 2})", f"other_{n} = {n}"])) for n in (1, 3)]
+    rows += [(f"o{n}", "\n".join(f"value_{n}_{i} = lookup_{n * 5 + i}(item_{i * n})" for i in range(6))) for n in range(150)]
+    df = spark.createDataFrame([(i, r, "a.py", c) for i, (r, c) in enumerate(rows)], "file_id bigint, repo string, path string, content string")
+    assert {r.file_id: r.reason for r in handwritten.not_handwritten(df).collect()} == dict.fromkeys(range(copied), "vendored")
+
+
 def test_secret_shared_by_many_and_rescan(spark):
     from codestrata.llm import secrets
 
