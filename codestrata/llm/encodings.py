@@ -4,8 +4,9 @@ The trigram counts cover every record. As nothing says which records are clean,
 all of them (garbled ones are few, so that in every language the right sequences outweigh the garbled ones),
 it judges all records, and the final model is trained on those it finds sound.
 
-Only trigrams of at least ``MIN_SHARE`` of all are kept, so a model has at most ``1 / MIN_SHARE`` entries
-however large the corpus is; with their context counts they are what is sent to the executors.
+Only trigrams of at least ``MIN_SHARE`` of all are kept, and likewise pairs of letters, so a model has at most
+``1 / MIN_SHARE`` of each however large the corpus is. All counts of pairs, contexts and letters are of all trigrams, and
+every letter is kept: their number is bounded by Unicode. This is what is sent to the executors.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.mojibake import TOKEN, Detector, Model, ngrams
+from codestrata.llm.mojibake import TOKEN, Detector, Lower, Model, ngrams
 from codestrata.session import cut
 
 #: Gain in log-likelihood that a chain needs. Validated on held-out records (tests/llm/test_encodings.py):
@@ -50,16 +51,25 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def train(texts: DataFrame) -> list[tuple[str, int]]:
-    """The model's trigrams, at most ``1 / MIN_SHARE`` of them."""
+def train(texts: DataFrame) -> tuple[list[tuple[str, int]], Lower]:
+    """The model's trigrams, at most ``1 / MIN_SHARE`` of them, and the marginals of all."""
     counts = cut(trigram_counts(texts))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [(r[0], r[1]) for r in counts.filter(F.col("n") >= total * MIN_SHARE).collect()]
+    least = (counts.agg(F.sum("n")).first()[0] or 0) * MIN_SHARE
+    n, enough = F.sum("n").alias("n"), F.col("n") >= least
 
+    def rows(df: DataFrame) -> list[tuple]:
+        return [tuple(r) for r in df.collect()]
 
-def judge(texts: DataFrame, key: str, trigrams: list[tuple[str, int]], margin: float = MARGIN, restore: bool = False) -> DataFrame:
+    pairs = counts.groupBy(F.substring("gram", 2, 2).alias("gram")).agg(n)
+    contexts = counts.groupBy(F.substring("gram", 1, 2).alias("gram")).agg(n, F.count("*").alias("types"))
+    firsts = pairs.groupBy(F.substring("gram", 1, 1).alias("gram")).agg(n, F.count("*").alias("types"))
+    letters = counts.groupBy(F.substring("gram", 3, 1).alias("gram")).agg(n)
+    return rows(counts.filter(enough)), Lower(rows(contexts.filter(enough)), rows(pairs.filter(enough)), rows(firsts), rows(letters))
+
+
+def judge(texts: DataFrame, key: str, model: tuple[list[tuple[str, int]], Lower], margin: float = MARGIN, restore: bool = False) -> DataFrame:
     """``key, evidence, wrong, right, twice, lost, garbled[, restored]`` of every text with a non-ASCII character."""
-    shared = texts.sparkSession.sparkContext.broadcast(trigrams)
+    shared = texts.sparkSession.sparkContext.broadcast(model)
     mark = uuid.uuid4().hex  # what a reused worker knows the model by
     schema = f"`{key}` bigint, evidence double, wrong string, right string, twice boolean, lost boolean, garbled boolean"
     schema += ", restored string" if restore else ""
@@ -67,7 +77,7 @@ def judge(texts: DataFrame, key: str, trigrams: list[tuple[str, int]], margin: f
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if mark not in _models:
             _models.clear()
-            _models[mark] = Detector(Model(shared.value), margin)
+            _models[mark] = Detector(Model(*shared.value), margin)
         detector = _models[mark]
         for pdf in batches:
             out = []

@@ -145,14 +145,24 @@ def ngrams(token: str) -> Iterator[str]:
         yield padded[i : i + 3]
 
 
+class Lower(NamedTuple):
+    """Marginals of all trigrams: ``gram, n`` or, of contexts, ``gram, n, distinct continuations``."""
+
+    ctx2: list[tuple[str, int, int]]
+    bi: list[tuple[str, int]]
+    ctx1: list[tuple[str, int, int]]
+    uni: list[tuple[str, int]]
+
+
 class Model:
     """Interpolated Witten-Bell trigram model over characters.
 
     Built from trigram counts alone; lower orders are their marginals, and what none has seen shares the
-    Unicode range evenly.
+    Unicode range evenly. Where rare trigrams are left out, ``lower`` has the marginals of all of them, and what is
+    left out of a context is shared out by the order below.
     """
 
-    def __init__(self, trigrams: Iterable[tuple[str, int]]):
+    def __init__(self, trigrams: Iterable[tuple[str, int]], lower: Lower | None = None):
         self.tri: dict[str, int] = {}
         self.ctx2: Counter = Counter()
         self.types2: Counter = Counter()
@@ -169,6 +179,18 @@ class Model:
         for gram, n in self.bi.items():
             self.ctx1[gram[0]] += n
             self.types1[gram[0]] += 1
+        self.rest2: Counter = Counter()
+        self.rest1: Counter = Counter()
+        if lower:
+            kept = self.ctx2
+            self.ctx2, self.types2 = (Counter({g: x[i] for g, *x in lower.ctx2}) for i in (0, 1))
+            self.ctx1, self.types1 = (Counter({g: x[i] for g, *x in lower.ctx1}) for i in (0, 1))
+            self.bi, self.uni = Counter(dict(lower.bi)), Counter(dict(lower.uni))
+            self.rest2 = self.ctx2 - kept
+            kept = Counter()
+            for gram, n in self.bi.items():
+                kept[gram[0]] += n
+            self.rest1 = self.ctx1 - kept
         self.total = sum(self.uni.values())
         self.types = len(self.uni)
         self._cache: dict[str, float] = {}
@@ -180,10 +202,10 @@ class Model:
         p = (self.uni.get(gram[2], 0) + self.types / 150_000) / (self.total + self.types) if self.total else 1 / 150_000
         n, t = self.ctx1.get(gram[1], 0), self.types1.get(gram[1], 0)
         if n:
-            p = (self.bi.get(gram[1:], 0) + t * p) / (n + t)
+            p = (self.bi.get(gram[1:], 0) + (t + self.rest1.get(gram[1], 0)) * p) / (n + t)
         n, t = self.ctx2.get(gram[:2], 0), self.types2.get(gram[:2], 0)
         if n:
-            p = (self.tri.get(gram, 0) + t * p) / (n + t)
+            p = (self.tri.get(gram, 0) + (t + self.rest2.get(gram[:2], 0)) * p) / (n + t)
         out = math.log(p)
         if len(self._cache) < 500_000:
             self._cache[gram] = out

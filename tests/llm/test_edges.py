@@ -6,7 +6,7 @@ import datetime as dt
 
 import pytest
 
-from codestrata.llm import encodings, handwritten, leakage, mixing, quantiles, secrets, syntax
+from codestrata.llm import encodings, handwritten, leakage, mixing, mojibake, quantiles, secrets, syntax
 
 T = dt.datetime(2025, 1, 1)
 FILES = "file_id bigint, repo string, path string, ord bigint, content string, loaded_at timestamp_ntz, body string, lines string, reason string, text string, value string"
@@ -106,6 +106,23 @@ def test_encodings(spark):
     assert set(got) == {43, 44, 45, 46} and got[44] == "Für die Prüfung müssen größere Zähler später überlaufen" and got[46] is None
 
 
+def test_encodings_with_rare_letters(spark, monkeypatch):
+    # the letter of a rare word stands only in trigrams that the bound leaves out of the model
+    monkeypatch.setattr(encodings, "MIN_SHARE", 5e-4)
+    russian = "Привет мир, это проверка новой записи перед выпуском следующей версии"
+    sound = [("Für die Prüfung müssen größere Zähler später überlaufen, schön wäre früher Abbruch.", "a")] * 40 + [(russian, "b")] * 40 + [(russian + " съёмка", "b")]
+    bad = (russian + " съёмка").encode("cp1251").decode("latin-1")
+    got = {r.doc_id: r.restored for r in encodings.garbled(docs(spark, *sound, (bad, "b")), restore=True).collect()}
+    assert got == {81: russian + " съёмка"}
+
+
+def test_encoding_model_of_all_marginals(spark, monkeypatch):
+    monkeypatch.setattr(encodings, "MIN_SHARE", 0.0)
+    trigrams, lower = encodings.train(docs(spark, ("ab", "a"), ("ac", "a")))
+    whole, plain = mojibake.Model(trigrams, lower), mojibake.Model(trigrams)
+    assert all(getattr(whole, x) == getattr(plain, x) for x in ("tri", "ctx2", "types2", "bi", "ctx1", "types1", "uni", "total", "types"))
+
+
 @pytest.mark.parametrize("name", ["p1_reasons", "p3_redacted", "p5_weekly_from_days", "p6_rates", "p7_leaked_items", "p8_shares", "p9_restored"])
 def test_queries_run(name, spark, sf_dir):
     from codestrata.llm import queries
