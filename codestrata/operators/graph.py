@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +24,23 @@ def god_nodes(edges: DataFrame, most: int, k: int = 10) -> DataFrame:
     return d.withColumn("degree", F.col("fan_in") + F.col("fan_out")).orderBy(F.desc("degree"), "node").limit(k)
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``node, depth`` of everything that depends on a seed: edges are followed from dst to src.
 
     A frontier loop: each round joins the last round's nodes with the edges and keeps what is new; rounds end
-    when nothing is. Cycles end by themselves. Lineage is cut by a written table in each round.
+    when nothing is. Cycles end by themselves. Lineage is cut by a written table in each round. With ``max_rounds``
+    a graph that needs more is an error.
     """
     reverse = cut(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct())
     seen = cut(seeds.select("node", F.lit(0).alias("depth")).distinct())
     frontier = seen
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         step = frontier.join(reverse, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = cut(step.select("node", F.lit(depth).alias("depth")))
         if frontier.isEmpty():
             break
+        if max_rounds is not None and depth > max_rounds:
+            raise ValueError(f"nodes deeper than {max_rounds} edges")
         seen = seen.unionByName(frontier)
     return seen
 

@@ -271,3 +271,11 @@ def test_reports_are_of_each_last_snapshot(spark, tmp_path):
     assert got == {"later": [("security", None, ["new"])], "earlier": [("security", None, ["new"])], "then scores": [("testing", 20.0, [])]}
     sarif = {r.repo: json.loads(r.document)["runs"][0]["tool"]["driver"]["rules"] for r in registry.queries()["snk2_sarif"](spark, str(tmp_path)).collect()}
     assert {repo: [x["name"] for x in rules] for repo, rules in sarif.items()} == {"later": ["new"], "earlier": ["new"]}
+
+
+def test_closure_of_a_deep_chain(spark):
+    e = spark.createDataFrame([(i + 1, i) for i in range(70)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert sorted((r.node, r.depth) for r in graph.closure(e, seeds).collect()) == [(i, i) for i in range(71)]
+    with pytest.raises(ValueError):
+        graph.closure(e, seeds, max_rounds=2)
