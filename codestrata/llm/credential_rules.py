@@ -36,29 +36,29 @@ _WORDS = {w.replace("_", "") for w in NAME_WORDS}
 STRUCTURED = re.compile(
     r"(?<![A-Za-z0-9])(?:"
     r"(?:AKIA|ASIA)[A-Z0-9]{16}"
-    r"|gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{30,255}"
-    r"|glpat-[A-Za-z0-9_-]{18,64}"
+    r"|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}"
+    r"|glpat-[A-Za-z0-9_-]{18,}"
     r"|xox[abeoprs]-[A-Za-z0-9]{6,}(?:-[A-Za-z0-9]{6,})+"
-    r"|(?:sk|rk)_live_[A-Za-z0-9]{20,255}"
-    r"|SG\.[A-Za-z0-9_-]{16,64}\.[A-Za-z0-9_-]{30,64}"
-    r"|hv[sb]\.[A-Za-z0-9_-]{20,255}"
+    r"|(?:sk|rk)_live_[A-Za-z0-9]{20,}"
+    r"|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{30,}"
+    r"|hv[sb]\.[A-Za-z0-9_-]{20,}"
     r"|AIza[A-Za-z0-9_-]{35}"
-    r"|npm_[A-Za-z0-9]{30,255}|pypi-[A-Za-z0-9_-]{50,255}"
+    r"|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{50,}"
     r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
     r")"
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Runs of a private key's body, without the escapes and quotes around its lines.
-KEY_BODY = re.compile(r"(?<!\\)(?:(?<=\\n)|(?<=\\r))?[A-Za-z0-9+/=]{8,}")
+KEY_BODY = re.compile(r"(?<!\\)(?:(?<=\\n)|(?<=\\r))?(?:[A-Za-z0-9+/]{4,}={0,2}|[A-Za-z0-9+/]{2,3}=)")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,30}://(?P<user>[^\s:/@'\"`<>{}$]*):(?P<pw>[^\s/@'\"`<>]{3,200})@(?=[A-Za-z0-9\[])")
-SCHEME = re.compile(r"(?i)\b(?P<scheme>basic|bearer|token)[ \t]+(?P<value>[A-Za-z0-9+/=_.~-]{8,2000})")
+URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,30}://(?P<user>[^\s:/@'\"`<>{}$]*):(?P<pw>[^\s/@'\"`<>]{3,})@(?=[A-Za-z0-9\[])")
+SCHEME = re.compile(r"(?i)\b(?P<scheme>basic|bearer|token)[ \t]+(?P<value>[A-Za-z0-9+/=_.~-]{8,})")
 #: Where a credential's name may begin; the whole identifier around it is then read.
 ANCHOR = re.compile(
     r"(?i)pass|pwd|pw(?![a-z])|secret|token|api_?-?key|access_?-?key|private_?-?key|signing_?-?key|encryption_?-?key|auth_?-?key|account_?-?key"
     r"|shared_?-?key|master_?-?key|credential|authorization|kennwort|contrase|senha|has[lł]o|heslo|l[oö]senord|wachtwoord|parola|пароль|clave"
 )
-_QUOTED = r"""(?P<prefix>[bBrRuUfF@]{0,2})(?P<q>'{3}|"{3}|["'`])(?P<value>(?:\\.|(?!(?P=q))[^\r\n\\]){1,2000})(?P=q)"""
+_QUOTED = r"""(?P<prefix>[bBrRuUfF@]{0,2})(?P<q>'{3}|"{3}|["'`])(?P<value>(?:[^\r\n\\"'`]++|\\.|(?!(?P=q))["'`])++)(?P=q)"""
 #: Between a name and its quoted literal: closing marks, a type, an operator, wrappers such as []byte( or an opening bracket.
 GIVEN = re.compile(
     r"""["'`\])]{0,2}\s{0,4}(?:(?::|\s)\s{0,2}[\w.<>\[\]|]{1,40}\s{0,2}(?==))?(?::=|[=!]==?|=>|->|=|:|,|\|\||\?\?|\?:|\bor\b)\s{0,8}"""
@@ -68,16 +68,16 @@ GIVEN = re.compile(
 #: NAME = <anything without quotes>, "literal"  (several names on the left)
 TUPLE = re.compile(r"""\s{0,4}=\s{0,4}[\w.()-]{1,40},\s{0,4}""" + _QUOTED)
 #: NAME=value up to the end of the line, as in env files, properties, YAML and comments.
-BARE = re.compile(r"""[ \t]{0,8}(?:[:=]|->|=>)[ \t]{0,8}(?P<value>[^\s"'`,;<>(){}][^\s"'`]{3,2000}?)[,;]?[ \t]*(?=\r?\n|\r?$|`)""")
+BARE = re.compile(r"""[ \t]{0,8}(?:[:=]|->|=>)[ \t]{0,8}(?P<value>[^\s"'`,;<>(){}][^\s"'`]{3,}?)[,;]?[ \t]*(?=\r?\n|\r?$|`)""")
 #: A name in prose, a few words, then the value: `NAME for the old box -> value`.
-PROSE_ARROW = re.compile(r"""(?:[ \t]+[\w'-]+){1,6}?[ \t]*(?:->|=>|:|=)[ \t]*(?P<value>[^\s"'`,;<>(){}][^\s"'`]{5,2000}?)[ \t]*(?=\r?\n|\r?$)""")
-PROSE_QUOTED = re.compile(r"""[ \t]+(?:is[ \t]+)?(?P<q>[`"'])(?P<value>[^`"'\s]{4,2000})(?P=q)""")
-FLAG = re.compile(r"""(?:=|[ \t]+)(?P<q>["']?)(?P<value>[^\s"',\]]{4,2000})(?P=q)""")
-USER_FLAG = re.compile(r"""(?:-u|--user)(?:=|[ \t]+)["']?[\w.@-]{1,64}:(?P<q>["']?)(?P<value>[^\r\n"'\s]{3,2000})(?P=q)(?=["'\s]|$)""")
+PROSE_ARROW = re.compile(r"""(?:[ \t]+[\w'-]+){1,6}?[ \t]*(?:->|=>|:|=)[ \t]*(?P<value>[^\s"'`,;<>(){}][^\s"'`]{5,}?)[ \t]*(?=\r?\n|\r?$)""")
+PROSE_QUOTED = re.compile(r"""[ \t]+(?:is[ \t]+)?(?P<q>[`"'])(?P<value>[^`"'\s]{4,})(?P=q)""")
+FLAG = re.compile(r"""(?:=|[ \t]+)(?P<q>["']?)(?P<value>[^\s"',\]]{4,})(?P=q)""")
+USER_FLAG = re.compile(r"""(?:-u|--user)(?:=|[ \t]+)["']?[\w.@-]{1,64}:(?P<q>["']?)(?P<value>[^\r\n"'\s]{3,})(?P=q)(?=["'\s]|$)""")
 #: `name: client_secret`, and on the next line `value: "..."`.
-VALUE_LINE = re.compile(r"""["'],?\s{1,200}["']?value["']?\s{0,4}[:=]\s{0,4}(?P<q>["']?)(?P<value>[^"'\r\n]{4,2000}?)(?P=q)\s{0,4},?(?=\s|$)|[ \t]*\r?\n[ \t]*value[ \t]*[:=][ \t]*(?P<q2>["']?)(?P<value2>[^"'\r\n]{4,2000}?)(?P=q2)[ \t]*(?=\r?\n|\r?$)""")
+VALUE_LINE = re.compile(r"""["'],?\s{1,200}["']?value["']?\s{0,4}[:=]\s{0,4}(?P<q>["']?)(?P<value>[^"'\r\n]{4,}?)(?P=q)\s{0,4},?(?=\s|$)|[ \t]*\r?\n[ \t]*value[ \t]*[:=][ \t]*(?P<q2>["']?)(?P<value2>[^"'\r\n]{4,}?)(?P=q2)[ \t]*(?=\r?\n|\r?$)""")
 #: The next piece of a literal that is put together from several.
-JOINED = re.compile(r"""[ \t]*(?:\+|\.|&|\\)?[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+[ \t]*)?(?P<q>["'`])(?P<value>(?:\\.|(?!(?P=q))[^\r\n\\]){1,2000})(?P=q)""")
+JOINED = re.compile(r"""[ \t]*(?:\+|\.|&|\\)?[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+[ \t]*)?(?P<q>["'`])(?P<value>(?:[^\r\n\\"'`]++|\\.|(?!(?P=q))["'`])++)(?P=q)""")
 _IDENT = re.compile(r"[\w.\-]")
 
 _SPLIT = re.compile(r"[A-ZÀ-Ý]+(?![a-zà-ÿ])|[A-ZÀ-Ý]?[a-zà-ÿĀ-ž]+|[А-Яа-я]+|\d+")
@@ -136,7 +136,7 @@ def _mixed(letters: str) -> bool:
 
 def plausible(value: str) -> bool:
     """A literal given to a credential's name that can be its value: no reference, placeholder, word or sentence."""
-    if len(value) < 6 or len(value) > 2000 or any(c.isspace() for c in value) or placeholder(value):
+    if len(value) < 6 or any(c.isspace() for c in value) or placeholder(value):
         return False
     if not any(c.isalnum() for c in value) or len(set(value)) < 4:
         return False
@@ -171,11 +171,9 @@ def header_value(scheme: str, value: str) -> bool:
 
 
 def _identifier(text: str, start: int, end: int) -> tuple[int, int]:
-    low = max(0, start - 64)
-    while start > low and _IDENT.match(text[start - 1]):
+    while start > 0 and _IDENT.match(text[start - 1]):
         start -= 1
-    high = min(len(text), end + 64)
-    while end < high and _IDENT.match(text[end]):
+    while end < len(text) and _IDENT.match(text[end]):
         end += 1
     # `--password=x`, `a->token`, `token.` at the end of a sentence: marks are not part of the name
     while end > start and text[end - 1] in ".-":
@@ -185,7 +183,7 @@ def _identifier(text: str, start: int, end: int) -> tuple[int, int]:
 
 def _joined(text: str, end: int, value: str, pieces: list[tuple[int, int]]) -> tuple[int, str]:
     """A literal with the pieces that follow it: `"ab" + "cd"`."""
-    for _ in range(50):
+    while True:
         m = JOINED.match(text, end)
         between = text[end : m.start("q")] if m else ""
         if not m or not ("+" in between or between and between.strip() in ("", "\\")):
@@ -195,16 +193,49 @@ def _joined(text: str, end: int, value: str, pieces: list[tuple[int, int]]) -> t
     return end, value
 
 
+#: What may stand between the lines of a private key: line ends and their escapes, quotes, joins.
+_KEY_GAP = re.compile(r"""(?:\\[nrt]|[\s"'`+,.;&()#*\\])*""")
+_KEY_LINE = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+#: Least characters of a private key's body, and of a full line in one that has no END line.
+_KEY_LEAST, _KEY_FULL = 24, 24
+
+
+def _key_end(text: str, at: int, limit: int) -> int | None:
+    """Where the block of a private key ends whose frame begins before ``at``; None if no body follows.
+
+    The body is its lines up to the END line before the next key. Without one it ends with the last full line,
+    or the one shorter line after it that stands alone; words of prose or code are neither.
+    """
+    stop = PEM_END.search(text, at, limit)
+    body, end, full = 0, at, False
+    while True:
+        begin = _KEY_GAP.match(text, end, limit).end()
+        m = _KEY_LINE.match(text, begin, limit)
+        if m is None:
+            break
+        size = m.end() - begin
+        if size < _KEY_FULL and not stop:
+            alone = m.end() == len(text) or text[m.end()] in "\r\n\"'`\\"
+            if full and alone and (size % 4 == 0 or m[0].endswith("=")) and not (m[0].isalpha() and m[0].islower()):
+                body, end = body + size, m.end()
+            break
+        if stop and m.end() > stop.start():
+            break
+        body, end, full = body + size, m.end(), True
+    if body < _KEY_LEAST:
+        return None
+    return stop.end() if stop else end
+
+
 def candidates(text: str) -> Iterator[Candidate]:
     """Every place of one text where the text of a usable credential stands, in no particular order.
 
     Places of one credential may come twice with different evidence.
     """
-    for m in PEM.finditer(text):
-        body = re.match(r"(?:\\[nr]|[\s\"'+\\,])*((?:[A-Za-z0-9+/=]|\\[nr]|[\s\"'+,\\]){24,})", text[m.end() : m.end() + 4000])
-        if body and len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", body[1])) >= 24:
-            stop = PEM_END.search(text, m.end())
-            end = stop.end() if stop else min(len(text), m.end() + len(body[0]))
+    heads = list(PEM.finditer(text))
+    for m, after in zip(heads, [*(h.start() for h in heads[1:]), len(text)], strict=False):
+        end = _key_end(text, m.end(), after)
+        if end is not None:
             yield Candidate(m.start(), end, text[m.start() : end], "structured")
     for m in STRUCTURED.finditer(text):
         yield Candidate(m.start(), m.end(), m[0], "structured")
@@ -255,7 +286,7 @@ def candidates(text: str) -> Iterator[Candidate]:
                 m = PROSE_ARROW.match(text, end)
             elif re.search(r"(?:#|//|--)\s*$", before) and re.match(r"[ \t]*\r?(?:\n|$)", text[end:]):
                 # if given == 'literal':  # its name
-                lits = [x for x in re.finditer(r"""(?P<q>["'])(?P<value>(?:\\.|(?!(?P=q)).){4,400})(?P=q)""", before) if plausible(x["value"])]
+                lits = [x for x in re.finditer(r"""(?P<q>["'])(?P<value>(?:\\.|(?!(?P=q)).){4,})(?P=q)""", before) if plausible(x["value"])]
                 if lits:
                     x = lits[-1]
                     yield Candidate(line_start + x.start("value"), line_start + x.end("value"), x["value"], "named")
