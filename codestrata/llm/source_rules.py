@@ -79,7 +79,7 @@ def _block_comment_ends(line: str) -> bool:
 def marked(lines: list[str]) -> bool:
     """Whether the comments before the code, or the last comment, state that the file was generated."""
     inside = False
-    for line in lines[:60]:
+    for line in lines:
         if not line.strip() or _PREAMBLE.match(line):
             continue
         if not inside and not _COMMENT.match(line):
@@ -94,13 +94,11 @@ def marked(lines: list[str]) -> bool:
             inside = not _block_comment_ends(line)
         elif quoted:
             inside = line.count(quoted[1]) == 1
-    seen = 0
     for line in reversed(lines):
         if not line.strip():
             continue
-        if not re.match(r"^\s*(?:#|//|--|;)", line) or seen >= 3:
+        if not re.match(r"^\s*(?:#|//|--|;)", line):
             break
-        seen += 1
         if _MARK.match(_LEAD.sub("", line)):
             return True
     return False
@@ -130,7 +128,7 @@ def reason(path: str, text: str) -> str | None:
     if ext == "json":
         long_share = sum(len(ln) for ln in body if len(ln) > 180) / size
         return "minified" if size > 400 and long_share > 0.9 and blanks < 0.12 * size else None
-    if not code or size < 200:
+    if not code:
         return None
     strings = [m[0] for m in _STRING.finditer(joined)]
     bare = _STRING.sub('""', joined)
@@ -159,7 +157,7 @@ def reason(path: str, text: str) -> str | None:
 
 def _flat(body: list[str]) -> bool:
     """Hardly any statement but the literals: lines with control flow or calls are few."""
-    busy = sum(bool(re.search(r"\b(?:def|if|for|while|return|func|function|else|try|switch|case|assert|lambda)\b|=>", _STRING.sub('""', ln[:4000]))) for ln in body)
+    busy = sum(bool(re.search(r"\b(?:def|if|for|while|return|func|function|else|try|switch|case|assert|lambda)\b|=>", _STRING.sub('""', ln))) for ln in body)
     return busy <= max(1, 0.05 * len(body))
 
 
