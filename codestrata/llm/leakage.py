@@ -1,14 +1,15 @@
 """Problem 7: passages of evaluation items in training documents, by q-gram lemma filtering.
 
 Texts are reduced to their words (lower case, names split at case and underscores, markup and punctuation
-dropped) and joined without spaces, so that layout cannot hide a passage. A passage of m characters that was
-copied with at most k edits shares at least ``m + 1 - q - k * q`` q-grams with its item (the q-gram lemma),
-and all of them lie on neighbouring diagonals ``position in document - position in item``. Shared q-grams are
-counted in bands of diagonals that overlap by half; regions that reach the bound for the edit budget are
+dropped) and joined without spaces, so that layout cannot hide a passage. A passage of m characters in words that
+were copied with k words edited falls into at most ``k + 1`` intact pieces, each of which loses ``q - 1`` of its
+q-grams, so it shares at least ``m - (q - 1) * (k + 1)`` of them with its item (the q-gram lemma), and all lie on
+diagonals ``position in document - position in item`` that the edits move by no more than their length. Shared
+q-grams are counted in bands of diagonals that overlap by half; regions that reach the bound for the edit budget are
 verified by a banded alignment of their words.
 
-Items are a stated query set. They are indexed in blocks of bounded size, and every document is compared with
-every block; nothing is sampled and no list of partners is cut.
+Items are a stated query set. They are indexed in blocks of bounded size, all in one pass over the documents, and
+every document is compared with every block; nothing is sampled and no list of partners is cut.
 """
 
 from __future__ import annotations
@@ -17,30 +18,35 @@ import html
 import re
 import unicodedata
 import uuid
-from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 12
+from codestrata.session import cut
+
+Q = 9
+#: Least width of a band of diagonals.
 BAND = 64
 #: Share of an item's own words that must stand in the document, in order; never fewer than MIN_WORDS.
 SHARE = 1 / 3
 MIN_WORDS = 10
-#: Edits per character that the filter allows for.
-EDIT_RATE = 0.065
+#: Edit budget: words replaced, put in or left out within a passage for each of its words that stand in the document.
+#: Two texts of one pattern, with other names and numbers, are further apart.
+EDITS = 0.5
+#: The bound of the lemma is for words of the item's mean length; regions of fewer shared q-grams are never looked at.
+LEAST_GRAMS = 4
 #: An opening that this many different items share (and this share of them) is an instruction, not a passage.
 OPENING_ITEMS, OPENING_SHARE = 5, 0.01
-#: Items per index block, which bounds what is sent to an executor (about 20 kB an item).
-BLOCK_ITEMS = 5_000
-#: Words by which an alignment may leave the diagonal of its region.
-SLACK = 30
-#: Equal words in a row that are no chance agreement of two texts of one pattern.
-RUN = 3
+OPENING_WORDS = (4, 80)
+#: Characters of items in an index block (about 30 bytes of memory each), and blocks that a worker keeps.
+BLOCK_CHARS, KEPT_BLOCKS = 2_000_000, 4
+#: Shared q-grams that are counted at once (a document is never split).
+MOST_HITS = 4_000_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--|-->")
 _WORD = re.compile(r"[a-zß-öø-ÿ]+|[A-ZÀ-ÖØ-Þ]+(?![a-zß-ÿ])|[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+|\d+|[^\W\d_A-Za-zÀ-ÿ぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]")
@@ -58,23 +64,60 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _openings(words: list[str]) -> Iterator[int]:
+    """Hashes of the openings of a text, shortest first."""
+    h = xxhash.xxh64()
+    for n, w in enumerate(words[: OPENING_WORDS[1]], 1):
+        h.update(w + " ")
+        if n >= OPENING_WORDS[0]:
+            yield h.intdigest() - (1 << 63)
+
+
 def own_words(items: list[tuple[int, list[str]]]) -> dict[int, list[str]]:
-    """Each item's words without the opening that many different items share.
+    """Each item's words without the opening that many different items share, for a small set of items."""
+    distinct = {tuple(w) for _, w in items}
+    shared: dict[int, int] = defaultdict(int)
+    for w in distinct:
+        for h in _openings(list(w)):
+            shared[h] += 1
+    need = max(OPENING_ITEMS, int(np.ceil(OPENING_SHARE * len(distinct))))
+    common = {h for h, n in shared.items() if n >= need}
+    return {key: _own(words, common) for key, words in items}
+
+
+def _own(words: list[str], common: set[int]) -> list[str]:
+    longest = max((n for n, h in enumerate(_openings(words), OPENING_WORDS[0]) if h in common), default=0)
+    return words[longest:]
+
+
+def own_texts(items: DataFrame, item_key: str) -> DataFrame:
+    """``key, own, chars``: the words of every item, without its instruction, joined by spaces.
 
     Items that are equal as a whole (re-issued ones) count once, so that they are no reason to take a passage
-    for an instruction.
+    for an instruction. At most ``1 / OPENING_SHARE`` openings of each length are common.
     """
-    distinct = {tuple(w) for _, w in items}
-    need = max(OPENING_ITEMS, int(np.ceil(OPENING_SHARE * len(distinct))))
-    shared: Counter = Counter()
-    for w in distinct:
-        for n in range(4, min(len(w), 80) + 1):
-            shared[w[:n]] += 1
-    out = {}
-    for key, words in items:
-        n = next((n for n in range(min(len(words), 80), 3, -1) if shared[tuple(words[:n])] >= need), 0)
-        out[key] = words[n:]
-    return out
+    some = items.select(F.col(item_key).cast("bigint").alias("key"), "text").filter(F.col("text").isNotNull() & F.col(item_key).isNotNull()).distinct()
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"key": pdf["key"], "words": [" ".join(words_of(t)) for t in pdf["text"]]})
+
+    def openings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"opening": [h for t in pdf["words"] for h in _openings(t.split())]}, dtype="int64")
+
+    words = cut(some.mapInPandas(split, "key bigint, words string"))
+    distinct = words.select("words").distinct()
+    need = max(OPENING_ITEMS, int(np.ceil(OPENING_SHARE * distinct.count())))
+    common = distinct.mapInPandas(openings, "opening bigint").groupBy("opening").agg(F.count("*").alias("n")).filter(F.col("n") >= need)
+    known = {r[0] for r in common.select("opening").collect()}
+
+    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [" ".join(_own(t.split(), known)) for t in pdf["words"]]
+            yield pd.DataFrame({"key": pdf["key"], "own": own, "chars": [len(o) for o in own]})
+
+    return words.mapInPandas(strip, "key bigint, own string, chars bigint")
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -98,22 +141,25 @@ def _hashes(codes: np.ndarray, q: int) -> np.ndarray:
 class Index:
     """q-grams of a block of items."""
 
-    def __init__(self, items: dict[int, list[str]], q: int = Q):
+    def __init__(self, items: dict[int, list[str]] | list[tuple[int, list[str]]], q: int = Q):
+        items = list(items.items()) if isinstance(items, dict) else items
         self.q = q
-        self.keys = list(items)
-        self.words = [items[k] for k in self.keys]
+        self.keys = [k for k, _ in items]
+        self.words = [w for _, w in items]
         self.need = np.array([max(MIN_WORDS, int(np.ceil(SHARE * len(w)))) for w in self.words], dtype=np.int64)
-        hashes, owner, pos = [], [], []
-        bound = []
+        hashes, owner, pos, bound, band = [], [], [], [], []
         for i, w in enumerate(self.words):
             h = _hashes(_codes(w), q)
             hashes.append(h)
             owner.append(np.full(len(h), i, np.int64))
             pos.append(np.arange(len(h), dtype=np.int64))
-            chars = sum(sorted(map(len, w))[: self.need[i]]) if len(w) >= self.need[i] else 0
-            k = int(EDIT_RATE * chars)
-            bound.append(max(2, chars + 1 - q - k * q) if chars else 1 << 40)
+            need = int(self.need[i])
+            mean = sum(map(len, w)) / len(w) if w else 0.0
+            chars, edits = int(need * mean), int(EDITS * need)
+            bound.append(max(min(LEAST_GRAMS, chars - q + 1), chars - (q - 1) * (edits + 1), 1) if len(w) >= need else 1 << 40)
+            band.append(max(BAND, int(edits * mean)))
         self.bound = np.array(bound, dtype=np.int64)
+        self.band = np.array(band, dtype=np.int64)
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hash, self.owner, self.pos = flat[order], np.concatenate(owner)[order] if owner else order, np.concatenate(pos)[order] if pos else order
@@ -131,112 +177,144 @@ class Index:
         at = np.flatnonzero(self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
         low = np.searchsorted(self.hash, h[at], "left")
         high = np.searchsorted(self.hash, h[at], "right")
-        some = high > low
-        at, low, high = at[some], low[some], high[some]
         ends = np.cumsum(sizes)
         doc = np.searchsorted(ends, at, "right")
-        inside = at + self.q <= ends[doc]
+        inside = (high > low) & (at + self.q <= ends[doc])
         at, low, high, doc = at[inside], low[inside], high[inside], doc[inside]
-        if not len(at):
-            return
+        total = np.cumsum(high - low)
+        # Whole documents at a time, about MOST_HITS hits in one go.
+        first = 0
+        while first < len(at):
+            last = int(np.searchsorted(total, (total[first - 1] if first else 0) + MOST_HITS, "right"))
+            last = max(int(np.searchsorted(doc, doc[min(last, len(at) - 1)], "left")) if last < len(at) else last, int(np.searchsorted(doc, doc[first], "right")))
+            some = slice(first, last)
+            yield from self._counted(doc[some], (at - (ends - sizes)[doc])[some], low[some], high[some])
+            first = last
+
+    def _counted(self, doc: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         n = high - low
         idx = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        doc, place = np.repeat(doc, n), np.repeat(at - (ends - sizes)[doc], n)
-        item, diag = self.owner[idx], place - self.pos[idx]
-        for offset in (0, BAND // 2):
-            band = (diag + offset) // BAND
-            key = (doc * len(self.keys) + item) * np.int64(1 << 20) + (band + (1 << 19))
+        item, diag = self.owner[idx], np.repeat(place, n) - self.pos[idx]
+        doc = np.repeat(doc, n)
+        width = self.band[item]
+        for shift in (0, 1):
+            band = (diag + shift * (width // 2)) // width
+            key = (doc * len(self.keys) + item) * np.int64(1 << 24) + (band + (1 << 23))
             order = np.argsort(key, kind="stable")
-            uniq, first, count = np.unique(key[order], return_index=True, return_counts=True)
-            for u, f, c in zip(uniq, first, count, strict=True):
-                j = order[f]
-                if c >= self.bound[item[j]]:
-                    members = order[f : f + c]
-                    yield int(doc[j]), int(item[j]), int(diag[members].min()), int(diag[members].max())
+            key, places = key[order], diag[order]
+            begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.concatenate([begins, [len(key)]]))
+            most, least = np.maximum.reduceat(places, begins), np.minimum.reduceat(places, begins)
+            for f in np.flatnonzero(count >= self.bound[item[order[begins]]]):
+                j = order[begins[f]]
+                yield int(doc[j]), int(item[j]), int(least[f]), int(most[f])
 
 
-def _aligned(a: list[str], b: list[str], low: int, high: int) -> int:
-    """Words of ``a`` that stand in ``b`` in order, with b's index minus a's index between ``low`` and ``high``.
+def aligned(item: list[str], doc: list[str], low: int, high: int) -> int:
+    """Most words that agree in a local alignment within the edit budget whose cells keep to the character diagonals ``low`` to ``high``.
 
-    Only words in runs of at least RUN equal words count: two texts of one pattern, with other names and
-    numbers, agree in many single words but in no runs. The longest alignment over the cells of the runs is
-    the longest chain of them that rises in both texts.
+    An agreement counts one, a word replaced, put in or left out minus one; an alignment that is down to nothing
+    begins anew, and every cell may be its end.
     """
-    grams: dict[tuple[str, ...], list[int]] = defaultdict(list)
-    for i in range(len(a) - RUN + 1):
-        grams[tuple(a[i : i + RUN])].append(i)
-    cells = set()
-    for j in range(len(b) - RUN + 1):
-        for i in grams.get(tuple(b[j : j + RUN]), ()):
-            if low <= j - i <= high:
-                cells.update((i + k, -(j + k)) for k in range(RUN))
-    tails: list[int] = []
-    for _, j in sorted(cells):
-        at = bisect_left(tails, -j)
-        tails[at : at + 1] = [-j]
-    return len(tails)
+    item_at = np.cumsum([0, *map(len, item)])
+    doc_at = np.cumsum([0, *map(len, doc)])
+    first = max(0, int(np.searchsorted(doc_at, low, "right")) - 1)
+    last = int(np.searchsorted(doc_at, high + item_at[-1], "right"))
+    part = doc[first:last]
+    if not part:
+        return 0
+    ids: dict[str, int] = {}
+    b = np.array([ids.setdefault(w, len(ids)) for w in part], dtype=np.int64)
+    a = [ids.get(w, -1) for w in item]
+    diag = doc_at[first : first + len(part)]
+    one = np.int64(1) << 32  # the score, above the agreements
+    n = len(part)
+    row = np.zeros(n + 1, np.int64)
+    # Row i only reaches the cells in its band.
+    lows = np.searchsorted(diag, item_at[:-1] + low, "left")
+    highs = np.searchsorted(diag, item_at[:-1] + high, "right")
+    best, steps = 0, np.arange(n + 1, dtype=np.int64) * one
+    for i, x in enumerate(a):
+        l, r = int(lows[i]), int(highs[i])
+        fresh = np.zeros(n + 1, np.int64)
+        if r > l:
+            before, above = row[l:r], row[l + 1 : r + 1]
+            here = np.where(b[l:r] == x, before + one + 1, np.maximum(before, above) - one)
+            here = np.maximum.accumulate(np.maximum(here, 0) + steps[: r - l]) - steps[: r - l]  # words put in
+            here[here < one] = 0
+            fresh[l + 1 : r + 1] = here
+            agree = here & 0xFFFFFFFF
+            best = max(best, int(agree[agree - (here >> 32) <= EDITS * agree + 1].max(initial=0)))
+        row = fresh
+    return best
 
 
 def carries(doc: list[str], item: list[str], need: int, low: int, high: int) -> bool:
-    """Whether ``need`` words of the item stand in the document in order, near the given character diagonals."""
-    doc_at = np.cumsum([0, *map(len, doc)])
-    item_at = np.cumsum([0, *map(len, item)])
-    # Document words that the region can cover, then the band in words around it.
-    first = int(np.searchsorted(doc_at, max(0, low - BAND), "right")) - 1
-    last = int(np.searchsorted(doc_at, high + item_at[-1] + BAND, "left"))
-    part = doc[max(0, first) : last]
-    if len(part) < need:
-        return False
-    offset = int(np.searchsorted(doc_at, max(0, low), "right")) - 1 - max(0, first)
-    start = int(np.searchsorted(item_at, max(0, -low), "right")) - 1
-    centre = offset - start
-    spread = max(SLACK, abs(len(part) - len(item)) + 5)
-    return _aligned(item, part, centre - spread, centre + spread) >= need
+    """Whether ``need`` words of the item stand in the document in order, near the given character diagonals and within the edit budget."""
+    mean = sum(map(len, item)) / max(len(item), 1)
+    slack = max(BAND, int(EDITS * need * mean))
+    return aligned(item, doc, low - slack, high + slack) >= need
 
 
 _indexes: dict = {}
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+def _index(mark: tuple, block) -> Index:
+    """The index of a block; a worker keeps the last few."""
+    if mark not in _indexes:
+        while len(_indexes) >= KEPT_BLOCKS:
+            _indexes.pop(next(iter(_indexes)))
+        _indexes[mark] = Index([(k, own.split()) for k, own in block.value])
+    return _indexes[mark]
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_key, item_key``: the documents that carry at least a third of an item's own words, in order.
 
     Own words are an item's words without the instruction many items open with; fewer than ten matching
-    words never count. Items with the same passage are all reported. Null and empty texts carry nothing;
-    repeated documents are reported each; texts are read whole.
+    words never count, nor does a passage with more than one edit for two of its words. Items with the same
+    passage are all reported. Null and empty texts carry nothing; repeated documents are reported each; texts are
+    read whole.
     """
     spark = docs.sparkSession
-    rows = items.select(item_key, "text").filter(F.col("text").isNotNull() & F.col(item_key).isNotNull()).distinct().orderBy(item_key, "text")
-    schema = f"`{doc_key}` bigint, `{item_key}` bigint"
-    out = None
-    own = own_words([(r[0], words_of(r[1])) for r in rows.toLocalIterator()])
-    keys = sorted(own)
+    own = cut(own_texts(items, item_key))
+    total = own.agg(F.sum("chars")).first()[0] or 0
+    count = int(total // block_chars) + 1
+    place = F.pmod(F.xxhash64("key", "own"), F.lit(count))
+    blocks = []
+    for n in range(count if total else 0):
+        rows = sorted((r[0], r[1]) for r in own.filter(place == n).select("key", "own").collect())
+        blocks.append(spark.sparkContext.broadcast(rows))
     texts = docs.select(doc_key, "text").filter(F.col("text").isNotNull() & (F.length("text") >= MIN_WORDS))
-    for start in range(0, len(keys), BLOCK_ITEMS):
-        block = spark.sparkContext.broadcast({k: own[k] for k in keys[start : start + BLOCK_ITEMS]})
+    mark = uuid.uuid4().hex  # what a reused worker knows the indexes by
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words = [words_of(t) for t in pdf["text"]]
+            ids = pdf[doc_key].to_numpy()
+            for n, block in enumerate(blocks):
+                index, hits = _index((mark, n), block), []
+                for at in range(0, len(pdf), 500):
+                    part = words[at : at + 500]
+                    spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                    for d, i, low, high in index.regions(part):
+                        spans[(d, i)].append((low, high))
+                    for (d, i), diags in spans.items():
+                        if any(carries(part[d], index.words[i], int(index.need[i]), low, high) for low, high in _merged(diags)):
+                            hits.append((ids[at + d], index.keys[i]))
+                if hits:
+                    yield pd.DataFrame(hits, columns=[doc_key, item_key])
 
-        mark = uuid.uuid4().hex  # what a reused worker knows the index by
+    schema = f"`{doc_key}` bigint, `{item_key}` bigint"
+    return texts.mapInPandas(walk, schema) if blocks else spark.createDataFrame([], schema)
 
-        def walk(batches: Iterator[pd.DataFrame], block=block, mark=mark) -> Iterator[pd.DataFrame]:
-            if mark not in _indexes:
-                _indexes.clear()
-                _indexes[mark] = Index(block.value)
-            index = _indexes[mark]
-            for pdf in batches:
-                for at in range(0, len(pdf), 500):
-                    part = pdf.iloc[at : at + 500]
-                    words = [words_of(t) for t in part["text"]]
-                    spans: dict[tuple[int, int], list[int]] = defaultdict(list)
-                    for d, i, low, high in index.regions(words):
-                        spans[(d, i)] += [low, high]
-                    ids = part[doc_key].to_numpy()
-                    hits = [
-                        (ids[d], index.keys[i])
-                        for (d, i), diags in spans.items()
-                        if carries(words[d], index.words[i], int(index.need[i]), min(diags), max(diags))
-                    ]
-                    if hits:
-                        yield pd.DataFrame(hits, columns=[doc_key, item_key])
-
-        found = texts.mapInPandas(walk, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+
+def _merged(diags: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Regions that overlap, as one."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(diags):
+        if out and low <= out[-1][1]:
+            out[-1] = out[-1][0], max(high, out[-1][1])
+        else:
+            out.append((low, high))
+    return out
