@@ -21,8 +21,10 @@ SINGLE_BYTE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp437", "cp850", "cp
 MULTI_BYTE = ["cp932", "euc_jp", "gbk", "big5", "euc_kr"]
 # ------------------------------------------------------------------------------------------------------
 
-TOKEN = re.compile(r"[^ \t\r\n]{1,400}")
-_NON_ASCII = re.compile(r"[^\x00-\x7f]")
+TOKEN = re.compile(r"[^ \t\r\n]+")
+#: Longer tokens (lines of scripts without spaces) hardly come twice; what is known about them is not kept.
+KEPT_TOKEN = 64
+_TWO = re.compile(r"[^\x00-\x7f]{2}")
 _UTF8 = re.compile(
     rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
@@ -253,8 +255,10 @@ class Detector:
         got = self._tokens.get(token)
         if got is None:
             base, got, seen = self.model.score(token), [], {}
+            beside = bool(_TWO.search(token))
             for k, chain in enumerate(self.chains):
-                fixed = undo(token, chain)
+                # No sequence of UTF-8 is read as a lone character.
+                fixed = undo(token, chain) if beside or chain.right != "utf-8" or chain.wrong in MULTI_BYTE else None
                 if fixed is None:
                     continue
                 if chain.right != "utf-8" and (self._torn(fixed, chain) or not self._attested(fixed)):
@@ -263,19 +267,26 @@ class Detector:
                 if gain is None:
                     gain = seen[fixed] = self.model.score(fixed) - base
                 got.append((k, gain, fixed))
-            if len(self._tokens) > 200_000:
-                self._tokens.clear()
-            self._tokens[token] = got
+            if len(token) <= KEPT_TOKEN:
+                if len(self._tokens) > 200_000:
+                    self._tokens.clear()
+                self._tokens[token] = got
         return got
 
+    def _gainers(self, text: str) -> bool:
+        """Whether any chain gains by any token; if none does, nothing can be evidence."""
+        return any(gain > 0 for token in set(TOKEN.findall(text)) if not token.isascii() for _, gain, _ in self._gains(token))
+
     def judge(self, text: str) -> Verdict:
-        if not _NON_ASCII.search(text):
+        if text.isascii():
             return Verdict(0.0, None, None, False)
         best, best_chain = 0.0, None
         out: list[str] = []
         changed = False
         plain = CITED.sub(lambda m: " " * len(m[0]), text)
         lost = "�" in plain
+        if not self._gainers(plain):
+            return Verdict(0.0, None, None, lost)
         lines = text.split("\n")
         plain_lines = plain.split("\n")
         whole: Counter = Counter()
@@ -283,8 +294,8 @@ class Detector:
         for line in plain_lines:
             sums: Counter = Counter()
             found = []
-            for m in TOKEN.finditer(line):
-                if not _NON_ASCII.search(m[0]):
+            for m in TOKEN.finditer(line) if not line.isascii() and self._gainers(line) else ():
+                if m[0].isascii():
                     continue
                 gains = self._gains(m[0])
                 found.append((m, gains))
