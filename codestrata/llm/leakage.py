@@ -18,7 +18,7 @@ import html
 import re
 import unicodedata
 import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -210,11 +210,11 @@ class Index:
                 yield int(doc[j]), int(item[j]), int(least[f]), int(most[f])
 
 
-def aligned(item: list[str], doc: list[str], low: int, high: int) -> int:
+def aligned(item: list[str], doc: list[str], low: int, high: int, enough: int | None = None) -> int:
     """Most words that agree in a local alignment within the edit budget whose cells keep to the character diagonals ``low`` to ``high``.
 
     An agreement counts one, a word replaced, put in or left out minus one; an alignment that is down to nothing
-    begins anew, and every cell may be its end.
+    begins anew, and every cell may be its end. With ``enough`` only that many words matter, and no more are looked for.
     """
     item_at = np.cumsum([0, *map(len, item)])
     doc_at = np.cumsum([0, *map(len, doc)])
@@ -223,6 +223,8 @@ def aligned(item: list[str], doc: list[str], low: int, high: int) -> int:
     part = doc[first:last]
     if not part:
         return 0
+    if enough is not None and sum((Counter(item) & Counter(part)).values()) < enough:
+        return 0
     ids: dict[str, int] = {}
     b = np.array([ids.setdefault(w, len(ids)) for w in part], dtype=np.int64)
     a = [ids.get(w, -1) for w in item]
@@ -245,6 +247,8 @@ def aligned(item: list[str], doc: list[str], low: int, high: int) -> int:
             fresh[l + 1 : r + 1] = here
             agree = here & 0xFFFFFFFF
             best = max(best, int(agree[agree - (here >> 32) <= EDITS * agree + 1].max(initial=0)))
+            if enough is not None and best >= enough:
+                break
         row = fresh
     return best
 
@@ -253,7 +257,7 @@ def carries(doc: list[str], item: list[str], need: int, low: int, high: int) ->
     """Whether ``need`` words of the item stand in the document in order, near the given character diagonals and within the edit budget."""
     mean = sum(map(len, item)) / max(len(item), 1)
     slack = max(BAND, int(EDITS * need * mean))
-    return aligned(item, doc, low - slack, high + slack) >= need
+    return aligned(item, doc, low - slack, high + slack, need) >= need
 
 
 _indexes: dict = {}
