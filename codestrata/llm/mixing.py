@@ -2,9 +2,11 @@
 
 The mix has as many blocks as fit while every source can deliver its share within its cap of repeats. Blocks
 are apportioned to sources by highest quotients (Sainte-Laguë), then each source's blocks to its shards in the
-same way, so that every shard has an integer quota and fills it on its own: it puts its documents in a seeded
-random order, passes over all of them as often as the quota allows, and takes the first blocks of the order
-for the rest. Shards are hash parts of a source with a bounded number of tokens, however large the source.
+same way, so that every shard has an integer quota and fills it on its own: it puts its documents one behind the
+other in a seeded order, cuts them into blocks of equal size, takes all of them as often as the quota allows, and
+for the rest the first blocks of another seeded order, the last one in part. A document of any length gives its
+blocks like any other, so a quota is met to the token. Shards are hash parts of a source with a bounded number of
+tokens, however large the source.
 """
 
 from __future__ import annotations
@@ -146,12 +148,14 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
-    Mix: ``key, source, n_tokens, repeats`` with ``repeats >= 1`` times that a document is taken; a document
-    is taken whole, so a shard misses its quota by less than one document, and never more often than its
-    source's cap. Report: one row per target with the shares reached.
+    Mix: ``key, source, from_token, n_tokens, repeats``: ``n_tokens`` tokens of a document from ``from_token`` on,
+    ``repeats`` times. Whole documents have a row with the number of full passes, and each block of the rest that
+    they are part of another; no token is taken more often than its source's cap. Report: one row per target with the
+    shares reached.
 
     Documents without text, source or a target for their source are not part of any mix; copies under other
-    keys count each; the same seed gives the same mix whatever the partitioning.
+    keys count each; the same seed gives the same mix whatever the partitioning. A source of less than a block in
+    all its repeats gives nothing.
     """
     spark = docs.sparkSession
     goal = {r[0]: (float(r[1] or 0.0), int(r[2] or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r[0] is not None}
@@ -168,18 +172,33 @@ def mix(
     for s, blocks in quotas.blocks.items():
         mine = sorted((r["shard"], r["t"]) for r in sizes if r[source] == s)
         cap = goal[s][1]
-        got = sainte_lague([t for _, t in mine], blocks, [max(1, t * cap // block) for _, t in mine])
-        rows += [(s, shard, q * block, t, cap) for (shard, t), q in zip(mine, got, strict=True) if q]
+        got = sainte_lague([t for _, t in mine], blocks, [t * cap // block for _, t in mine])
+        # What the shards' caps leave over by rounding goes to those that have room for a part of a block.
+        left, wanted = blocks * block - sum(got) * block, []
+        for (shard, t), q in zip(mine, got, strict=True):
+            more = min(left, t * cap - q * block)
+            left -= more
+            wanted.append((s, shard, q * block + more, t, cap))
+        rows += [r for r in wanted if r[2]]
     quota = spark.createDataFrame(rows, f"`{source}` string, shard bigint, wanted bigint, shard_tokens bigint, cap int")
+    quota = quota.withColumn("passes", F.floor(F.col("wanted") / F.col("shard_tokens"))).withColumn("rest", F.col("wanted") - F.col("passes") * F.col("shard_tokens"))
+    small = broadcast_if_small(quota, len(rows) * 96)
     w = Window.partitionBy(source, "shard").orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0)
-    run = placed.join(broadcast_if_small(quota, len(rows) * 80), [source, "shard"]).withColumn("upto", F.sum("n_tokens").over(w))
-    passes = F.floor(F.col("wanted") / F.col("shard_tokens"))
-    rest = F.col("wanted") - passes * F.col("shard_tokens")
-    # The block that the quota ends in goes to the document that has its larger part.
-    taken = F.least(F.col("cap"), passes + (F.col("upto") - F.col("n_tokens") / 2 <= rest).cast("bigint"))
-    mixed = run.withColumn("repeats", taken.cast("int")).filter("repeats > 0").select(key, source, "n_tokens", "repeats")
-    mixed = cut(mixed)
-    got = {r[0]: (r[1], r[2], r[3]) for r in mixed.groupBy(source).agg(F.sum(F.col("n_tokens") * F.col("repeats")), F.count("*"), F.max("repeats")).collect()}
+    run = placed.join(small, [source, "shard"]).withColumn("upto", F.sum("n_tokens").over(w)).withColumn("at", F.col("upto") - F.col("n_tokens"))
+    whole = run.filter("passes > 0").select(key, source, F.lit(0).cast("bigint").alias("from_token"), "n_tokens", F.col("passes").cast("int").alias("repeats"), F.lit(0).alias("part"))
+    # The blocks of the rest, in seeded order up to it.
+    grid = quota.filter("rest > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("shard_tokens") - 1) / block))))
+    grid = grid.withColumn("size", F.least(F.lit(block), F.col("shard_tokens") - F.col("block") * block))
+    seeded = Window.partitionBy(source, "shard").orderBy(F.xxhash64(F.lit(seed + 2), source, "shard", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = grid.withColumn("take", F.least("size", F.col("rest") - F.sum("size").over(seeded) + F.col("size"))).filter("take > 0").select(source, "shard", "block", "take")
+    pieces = run.filter("rest > 0 AND n_tokens > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("upto") - 1) / block))))
+    low = F.greatest("at", F.col("block") * block)
+    taken = F.least("upto", F.col("block") * block + F.col("take")) - low
+    parts = pieces.join(chosen, [source, "shard", "block"]).select(key, source, (low - F.col("at")).alias("from_token"), taken.alias("n_tokens"), F.lit(1).alias("repeats"), F.lit(1).alias("part"))
+    mixed = cut(whole.unionByName(parts.filter("n_tokens > 0")))
+    each = mixed.groupBy(source, key).agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), (F.sum(F.when(F.col("part") == 0, F.col("repeats")).otherwise(0)) + F.max("part")).alias("r"))
+    got = {r[0]: (r[1], r[2], r[3]) for r in each.groupBy(source).agg(F.sum("t"), F.count("*"), F.max("r")).collect()}
+    mixed = mixed.drop("part")
     size = sum(t for t, _, _ in got.values())
     report = [
         (s, share, cap, totals.get(s, 0), quotas.blocks.get(s, 0), got.get(s, (0, 0, 0))[0], got.get(s, (0, 0, 0))[1], got.get(s, (0, 0, 0))[2],
