@@ -52,8 +52,12 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
 
 
 def train(texts: DataFrame) -> tuple[list[tuple[str, int]], Lower]:
+    """The model of texts (``model_of`` their trigrams)."""
+    return model_of(cut(trigram_counts(texts)))
+
+
+def model_of(counts: DataFrame) -> tuple[list[tuple[str, int]], Lower]:
     """The model's trigrams, at most ``1 / MIN_SHARE`` of them, and the marginals of all."""
-    counts = cut(trigram_counts(texts))
     least = (counts.agg(F.sum("n")).first()[0] or 0) * MIN_SHARE
     n, enough = F.sum("n").alias("n"), F.col("n") >= least
 
@@ -103,6 +107,9 @@ def garbled(docs: DataFrame, key: str = "doc_id", margin: float = MARGIN, restor
     records are judged each; texts are read whole.
     """
     texts = docs.select(key, "text").filter(F.col("text").isNotNull() & (F.col("text") != ""))
-    first = cut(judge(texts, key, train(texts), margin).filter("garbled").select(key).distinct())
-    clean = texts.join(first, key, "left_anti")
-    return judge(texts, key, train(clean), margin, restore).filter("garbled").drop("garbled")
+    counts = cut(trigram_counts(texts))
+    first = cut(judge(texts, key, model_of(counts), margin).filter("garbled").select(key).distinct())
+    # The counts of the clean records are those of all without those of the garbled ones.
+    wrong = trigram_counts(texts.join(first, key, "left_semi")).select("gram", (-F.col("n")).alias("n"))
+    clean = cut(counts.unionByName(wrong).groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 0"))
+    return judge(texts, key, model_of(clean), margin, restore).filter("garbled").drop("garbled")

@@ -240,6 +240,10 @@ class Detector:
         self.model, self.margin = model, margin
         self.chains = candidates or chains()
         self._tokens: dict[str, list[tuple[int, float, str]]] = {}
+        self._gaining: dict[str, bool] = {}
+        plain = {k: c for k, c in enumerate(self.chains) if c.right != "utf-8" and c.right not in MULTI_BYTE}
+        self._tables = {k: {ord(a): b for a, b in _single(c.wrong, c.right).items()} for k, c in plain.items()}
+        self._letters: dict[str, tuple[int, int]] = {}
 
     def _attested(self, token: str) -> bool:
         """Whether the clean records know every letter. One-byte mistakes and read double bytes always give some
@@ -251,14 +255,36 @@ class Detector:
         """Whether a word would change its script in the middle, which no mistake put right leaves behind."""
         return bool((_INSIDE if chain.right in MULTI_BYTE else _BESIDE).search(token))
 
+    def _letter(self, c: str) -> tuple[int, int]:
+        """The one-byte chains, as bits, that can have made a letter of known letters, and those that change it."""
+        got = self._letters.get(c)
+        if got is None:
+            can = change = 0
+            for k, table in self._tables.items():
+                meant = table.get(ord(c))
+                if (meant is not None or c in _encoder(self.chains[k].wrong)) and self._attested(meant or c):
+                    can |= 1 << k
+                    change |= (meant is not None) << k
+            got = self._letters[c] = can, change
+        return got
+
     def _gains(self, token: str) -> list[tuple[int, float, str]]:
         got = self._tokens.get(token)
         if got is None:
             base, got, seen = self.model.score(token), [], {}
             beside = bool(_TWO.search(token))
+            can, change = -1, 0
+            for c in set(token):
+                if c > "\x7f":
+                    a, b = self._letter(c)
+                    can, change = can & a, change | b
+            can &= change
             for k, chain in enumerate(self.chains):
-                # No sequence of UTF-8 is read as a lone character.
-                fixed = undo(token, chain) if beside or chain.right != "utf-8" or chain.wrong in MULTI_BYTE else None
+                if k in self._tables:
+                    fixed = token.translate(self._tables[k]) if can >> k & 1 else None
+                else:
+                    # No sequence of UTF-8 is read as a lone character.
+                    fixed = undo(token, chain) if beside or chain.right != "utf-8" or chain.wrong in MULTI_BYTE else None
                 if fixed is None:
                     continue
                 if chain.right != "utf-8" and (self._torn(fixed, chain) or not self._attested(fixed)):
@@ -270,12 +296,21 @@ class Detector:
             if len(token) <= KEPT_TOKEN:
                 if len(self._tokens) > 200_000:
                     self._tokens.clear()
+                    self._gaining.clear()
                 self._tokens[token] = got
         return got
 
+    def _gains_by(self, token: str) -> bool:
+        known = self._gaining.get(token)
+        if known is None:
+            known = any(gain > 0 for _, gain, _ in self._gains(token))
+            if len(token) <= KEPT_TOKEN:
+                self._gaining[token] = known
+        return known
+
     def _gainers(self, text: str) -> bool:
         """Whether any chain gains by any token; if none does, nothing can be evidence."""
-        return any(gain > 0 for token in set(TOKEN.findall(text)) if not token.isascii() for _, gain, _ in self._gains(token))
+        return any(self._gains_by(token) for token in set(TOKEN.findall(text)) if not token.isascii())
 
     def judge(self, text: str) -> Verdict:
         if text.isascii():
