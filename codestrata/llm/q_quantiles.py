@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm.quantiles import from_sketch, radix_select, run_values, sketch
+from codestrata.llm.quantiles import from_sketch, radix_levels, run_values, sketch
 from codestrata.session import cut, table
 
 
@@ -15,10 +15,8 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles per repository and day and, with day null, per repository over all days."""
-    keys = _keys(spark, sf_dir)
-    days = radix_select(keys, ["repo_name", "day"]).withColumn("level", F.lit("day"))
-    repos = radix_select(keys, ["repo_name"]).withColumn("day", F.lit(None).cast("date")).withColumn("level", F.lit("all"))
-    return days.unionByName(repos).withColumn("max_rel_error", F.lit(0.0))
+    both = radix_levels(_keys(spark, sf_dir), [["repo_name", "day"], ["repo_name"]])
+    return both.withColumn("level", F.when(F.col("level") == 0, "day").otherwise("all")).withColumn("max_rel_error", F.lit(0.0))
 
 
 def p5_daily_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,10 @@
 A floating value is mapped to an integer of the same order: its bits, with all but the sign inverted for
 negative numbers. Selection then works on digits. One pass counts, per group, the values of each leading
 digit; the digit that contains a target rank is known from the running counts, and the next pass counts only
-values that begin with it. Four digits of 16 bits give the exact value. Every pass aggregates on the map side,
-so what is shuffled per task is at most the number of distinct (group, digit) pairs it saw.
+values that begin with it. Four digits of 16 bits give the exact value; a target whose digit holds one value only is
+known at once, and passes end when all are. Coarser groups need no pass of their own: their counts are sums of those
+of the finest ones. Every pass aggregates on the map side, so what is shuffled per task is at most the number of
+distinct (group, digit) pairs it saw.
 
 The counts of leading digits alone are a sketch: of a value only the leading ``SKETCH_BITS`` are kept, counts
 of partitions or days add up, and the percentile's error is bounded by half the width of a digit, relative
@@ -81,28 +83,6 @@ def run_values(runs: DataFrame) -> DataFrame:
     return once.unionByName(alone).select("repo_name", "day", F.explode(F.pandas_udf(_valid_keys, T.ArrayType(T.LongType()))("times_ms")).alias("key"))
 
 
-def _digit_ranks(hist: DataFrame, groups: Sequence[str], targets: DataFrame | None, quantiles: dict[str, float]) -> DataFrame:
-    """For every target the digit that contains its rank, and the rank within it."""
-    w = Window.partitionBy(*groups, "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*groups, "prefix")
-    h = hist.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(total))
-    if targets is None:
-        wanted = F.array(*[F.struct(F.lit(q).alias("q"), F.greatest(F.ceil(F.col("all") * F.lit(p)), F.lit(1)).alias("rank")) for q, p in quantiles.items()])
-        h = h.withColumn("w", F.explode(wanted)).withColumn("q", F.col("w.q")).withColumn("rank", F.col("w.rank")).withColumn("total", F.col("all"))
-    else:
-        t = targets.select(*[F.col(g).alias(f"_t_{g}") for g in groups], F.col("prefix").alias("_t_prefix"), "q", "rank", "total")
-        cond = [F.col(g).eqNullSafe(F.col(f"_t_{g}")) for g in groups] + [F.col("prefix") == F.col("_t_prefix")]
-        h = h.join(t, on=_all(cond))
-    hit = (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
-    return h.filter(hit).select(
-        *groups,
-        "q",
-        "total",
-        (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"),
-        F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit")).alias("prefix"),
-    )
-
-
 def _all(conds: list):
     out = conds[0]
     for c in conds[1:]:
@@ -110,26 +90,77 @@ def _all(conds: list):
     return out
 
 
+def _same(columns: Sequence[str], mark: str) -> Column:
+    """Null-safe equality of columns with their marked copies."""
+    return _all([F.col(c).eqNullSafe(F.col(f"{mark}{c}")) for c in columns])
+
+
+def _marked(df: DataFrame, columns: Sequence[str], mark: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{mark}{c}" for c in columns})
+
+
+def _ranks(hist: DataFrame, place: Sequence[str], wanted: Column) -> DataFrame:
+    """For every target the digit that contains its rank: the rank within it, and the least and greatest key there."""
+    w = Window.partitionBy(*place).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*place)))
+    hit = F.filter(wanted, lambda t: (t["rank"] > F.col("upto") - F.col("n")) & (t["rank"] <= F.col("upto")))
+    h = h.withColumn("t", F.explode(hit))
+    prefix = F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit"))
+    return h.select(
+        *place[:-1], prefix.alias("prefix"), F.col("t.q").alias("q"), F.col("t.total").alias("total"), (F.col("t.rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi"
+    )
+
+
 def radix_select(keys: DataFrame, groups: Sequence[str], quantiles: dict[str, float] | None = None) -> DataFrame:
     """Exact percentiles per group: the value at rank ``ceil(q * n)`` (nearest rank), one column per quantile.
 
     ``keys`` has the group columns and the integer ``key``. Null group values form a group; groups without
     values have no row; ties are counted, repeated rows count each.
     """
+    return radix_levels(keys, [groups], quantiles).drop("level")
+
+
+def radix_levels(keys: DataFrame, levels: Sequence[Sequence[str]], quantiles: dict[str, float] | None = None) -> DataFrame:
+    """``radix_select`` for several groupings in the same passes; ``level`` is the place in ``levels``.
+
+    The first level is the finest; the others are parts of it, and columns they leave out are null.
+    """
     quantiles = quantiles or QUANTILES
-    first = keys.groupBy(*groups, F.shiftright("key", 64 - DIGIT_BITS).alias("digit")).agg(F.count("*").alias("n"))
-    targets = cut(_digit_ranks(first.withColumn("prefix", F.lit(0).cast("bigint")), groups, None, quantiles))
+    finest = list(levels[0])
+    shared = [g for g in finest if all(g in level for level in levels)]
+    place = ["level", *finest, "prefix"]
+
+    def histogram(rows: DataFrame, prefix: Column, digit: Column) -> DataFrame:
+        h = rows.groupBy(*finest, prefix.alias("prefix"), digit.alias("digit")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        h = cut(h) if len(levels) > 1 else h
+        out = None
+        for n, level in enumerate(levels):
+            part = h if n == 0 else h.groupBy(*level, "prefix", "digit").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            given = [F.col(g) if g in level else F.lit(None).cast(keys.schema[g].dataType).alias(g) for g in finest]
+            part = part.select(F.lit(n).alias("level"), *given, "prefix", "digit", "n", "lo", "hi")
+            out = part if out is None else out.unionByName(part)
+        return out
+
+    first = histogram(keys, F.lit(0).cast("bigint"), F.shiftright("key", 64 - DIGIT_BITS))
+    wanted = F.array(*[F.struct(F.lit(q).alias("q"), F.greatest(F.ceil(F.col("all") * F.lit(p)), F.lit(1)).alias("rank"), F.col("all").alias("total")) for q, p in quantiles.items()])
+    targets = known = cut(_ranks(first, place, wanted))
     for done in (DIGIT_BITS, 2 * DIGIT_BITS, 3 * DIGIT_BITS):
-        prefixes = targets.select(*groups, "prefix").distinct()
-        size = targets.count() * (64 + 32 * len(groups))
-        p = broadcast_if_small(prefixes.select(*[F.col(g).alias(f"_p_{g}") for g in groups], F.col("prefix").alias("_p")), size)
-        cond = [F.col(g).eqNullSafe(F.col(f"_p_{g}")) for g in groups] + [F.shiftright("key", 64 - done) == F.col("_p")]
-        digit = F.shiftright("key", 64 - done - DIGIT_BITS).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
-        hist = keys.join(p, _all(cond), "left_semi").groupBy(*groups, F.shiftright("key", 64 - done).alias("prefix"), digit.alias("digit")).agg(F.count("*").alias("n"))
-        targets = cut(_digit_ranks(hist, groups, targets, quantiles))
-    value = _to_double("prefix")
-    named = targets.withColumn("value", value)
-    return named.groupBy(*groups).agg(
+        left = targets.filter("lo < hi")
+        count = left.count()
+        if not count:
+            break
+        size = count * (96 + 32 * len(finest))
+        p = broadcast_if_small(_marked(left.select(*shared, "prefix").distinct(), [*shared, "prefix"], "_p_"), size)
+        prefix = F.shiftright("key", 64 - done)
+        cond = F.col("_p_prefix") == prefix
+        some = keys.join(p, cond & _same(shared, "_p_") if shared else cond, "left_semi")
+        hist = histogram(some, prefix, F.shiftright("key", 64 - done - DIGIT_BITS).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)))
+        t = left.groupBy(*place).agg(F.collect_list(F.struct("q", "rank", "total")).alias("wanted"))  # one for each quantile
+        hist = hist.join(broadcast_if_small(_marked(t, place, "_t_"), size), _same(place, "_t_"))
+        targets = cut(_ranks(hist, place, F.col("wanted")))
+        known = known.filter("lo = hi").unionByName(targets)
+    named = known.withColumn("value", _to_double("lo"))
+    return named.groupBy("level", *finest).agg(
         F.max("total").alias("n"), *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(q) for q in quantiles]
     )
 
