@@ -9,6 +9,11 @@ from codestrata.operators.graph import closure, cycles, degrees, god_nodes
 from codestrata.session import broadcast_if_small, cut, table
 
 
+# ---- Fixed value: days that count as recent ----
+RECENT_DAYS = 30
+# ------------------------------------------------
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
@@ -20,13 +25,20 @@ def top1_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win1_bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN1: how many users it takes, most active first, to reach 80 % of the events of a type."""
-    counts = _events(spark, sf_dir).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy("event_type"))
-    rows = counts.withColumn("before", before).withColumn("total", total)
-    return rows.groupBy("event_type").agg(F.count_if(F.col("before") < 0.8 * F.col("total")).alias("bus_factor"), F.max("total").alias("events"))
+    """WIN1: how many users it takes, most active first, to reach 80 % of the events of a type.
+
+    Users of equal activity are one row of a histogram, so that the window runs over the distinct counts of a type and
+    not over its users; within such a row the users needed follow by division.
+    """
+    users = _events(spark, sf_dir).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    h = users.groupBy("event_type", "n").agg(F.count("*").alias("users"))
+    w = Window.partitionBy("event_type").orderBy(F.desc("n"))
+    before = F.coalesce(F.sum(F.col("n") * F.col("users")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = F.sum(F.col("n") * F.col("users")).over(Window.partitionBy("event_type"))
+    rows = h.withColumn("before", before).withColumn("total", total)
+    # in fifths, exactly: a user counts while the events before are under four fifths
+    needed = F.ceil((4 * F.col("total") - 5 * F.col("before")) / (5 * F.col("n")))
+    return rows.groupBy("event_type").agg(F.sum(F.least("users", F.greatest(needed, F.lit(0)))).alias("bus_factor"), F.max("total").alias("events"))
 
 
 def agg12_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +47,10 @@ def agg12_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg13_weekly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG13, AGG14, WIN5, FLT5: first and last event, events per week, share of errors, and those of the last 30 days."""
+    """AGG13, AGG14, WIN5, FLT5: first and last event, events per week, share of errors, and those of the last 30 days before the newest one."""
     seconds = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))
     weeks = F.greatest(F.floor(seconds / 86400) / 7, F.lit(1.0))
-    recent = F.col("ts") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS")
+    recent = F.col("ts") >= F.lit(_events(spark, sf_dir).agg(F.max("ts")).first()[0]) - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
     return _events(spark, sf_dir).groupBy("user_id").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.count("*") / weeks, 6).alias("per_week"),
         F.bround(F.avg((F.col("event_type") == "error").cast("int")) * 100, 1).alias("error_pct"), F.count_if(recent).alias("recent"),
@@ -174,7 +186,7 @@ x AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY event_type ORDER BY n DESC, u
 SELECT event_type, count(*) FILTER (b < 0.8 * t) AS bus_factor, max(t)::BIGINT AS events FROM x GROUP BY 1""",
     "agg12_activity": "SELECT (isodow(ts) - 1)::INTEGER AS weekday, hour(ts)::INTEGER AS hour, count(*) AS n FROM events GROUP BY 1, 2",
     "agg13_weekly_rate": """SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, round(count(*) / greatest(floor((floor(epoch(max(ts))) - floor(epoch(min(ts)))) / 86400) / 7, 1.0), 6) AS per_week,
-  round_even(avg((event_type = 'error')::INT) * 100, 1) AS error_pct, count(*) FILTER (ts >= TIMESTAMP '2024-01-30' - INTERVAL 7 DAYS) AS recent FROM events GROUP BY 1""",
+  round_even(avg((event_type = 'error')::INT) * 100, 1) AS error_pct, count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAYS) AS recent FROM events GROUP BY 1""",
     "flt6_fix_messages": """WITH d AS (SELECT repo, (contains(lower(text), 'fix') OR contains(lower(text), 'bug') OR contains(lower(text), 'patch') OR contains(lower(text), 'rolled back') OR contains(lower(text), 'flaky')) AS h
   FROM documents WHERE source = 'commit_note' AND text IS NOT NULL) SELECT repo, count(*) AS notes, count(*) FILTER (h) AS fixes, round_even(avg(h::INT) * 100, 1) AS pct FROM d GROUP BY 1""",
     "flt13_json_props": "SELECT event_type, sum(json_extract_string(props, '$.k')::INT)::BIGINT AS sum_k, count(json_extract_string(props, '$.k')) AS n, max(json_extract_string(props, '$.k')::INT) AS max_k FROM events GROUP BY 1",

@@ -5,33 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators.snapshots import calendars
-from codestrata.plans.q_findings import _F, _S, _findings, _scores
+from codestrata.plans.q_findings import _LAST, _NOW, _S, _findings, _scores, last_snapshots
 from codestrata.sources import reports
 from codestrata.streaming.windows import sessions, windowed_counts
-from codestrata.session import broadcast_if_small, table
-
-
-def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``repo, snapshot_no``: the last snapshot that a repository has in either table."""
-    seen = calendars([table(spark, sf_dir, "findings"), table(spark, sf_dir, "category_scores")], "repo", "snapshot_no")
-    return broadcast_if_small(seen.select("repo", F.element_at("calendar", -1).alias("snapshot_no")))
+from codestrata.session import table
 
 
 def snk1_json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK1: nested result documents of each repository's last snapshot (checked by their shape in the tests)."""
-    last = _last(spark, sf_dir)
+    last = last_snapshots(spark, sf_dir)
     return reports.json_reports(_scores(spark, sf_dir, last), _findings(spark, sf_dir, of=last))
 
 
 def snk2_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK2: SARIF documents of each repository's last snapshot; one that has scores only gives none."""
-    return reports.sarif(_findings(spark, sf_dir, of=_last(spark, sf_dir)).withColumn("ord", F.col("row_id")))
+    return reports.sarif(_findings(spark, sf_dir, of=last_snapshots(spark, sf_dir)).withColumn("ord", F.col("row_id")))
 
 
 def snk3_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK3: Markdown score tables of the last snapshot."""
-    return reports.markdown(_scores(spark, sf_dir).filter("snapshot_no = 8"))
+    return reports.markdown(_scores(spark, sf_dir, last_snapshots(spark, sf_dir)))
 
 
 def win_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +44,8 @@ def win_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (snk1_json_reports, snk2_sarif, snk3_markdown, win_tumbling, win_sliding, win_sessions)}
 ORACLES = {
-    "snk3_markdown": f"""WITH {_S} SELECT repo, '# ' || repo || E'\\n\\n| Category | Score | Status |\\n|---|---|---|\\n' || string_agg(printf('| %s | %.1f | %s |', category, score, CASE WHEN score >= 70 THEN 'OK' WHEN score >= 40 THEN 'WARN' ELSE 'FAIL' END), E'\\n' ORDER BY score, category) || E'\\n' AS document
-FROM s WHERE snapshot_no = 8 AND score IS NOT NULL GROUP BY repo""",
+    "snk3_markdown": f"""WITH {_S}, {_LAST} SELECT repo, '# ' || repo || E'\\n\\n| Category | Score | Status |\\n|---|---|---|\\n' || string_agg(printf('| %s | %.1f | %s |', category, score, CASE WHEN score >= 70 THEN 'OK' WHEN score >= 40 THEN 'WARN' ELSE 'FAIL' END), E'\\n' ORDER BY score, category) || E'\\n' AS document
+FROM s SEMI JOIN l USING (repo, snapshot_no) WHERE score IS NOT NULL GROUP BY repo""",
     "win_tumbling": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
     "win_sliding": "SELECT d AS day, event_type, count(*) AS n FROM (SELECT event_type, unnest([ts::DATE, ts::DATE - 1]) AS d FROM events) GROUP BY 1, 2",
     "win_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from codestrata.functions.paths import any_of, basename, excluded, extension, gl
 from codestrata.functions.severity import clamp
 from codestrata.operators.patterns import LIMITED, SETS, STRUCTURES, SUFFIXES
 from codestrata.operators.scan import of_language, pattern_counts, scan_all
+from codestrata.plans.samples import X, files_and_samples
 from codestrata.session import broadcast_if_small, table
 
 
@@ -18,19 +21,19 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pat_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT1-PAT5: every match of the built-in patterns with line and columns."""
-    return scan_all(_files(spark, sf_dir).select("file_id", "path", "content")).select(
+    return scan_all(files_and_samples(spark, sf_dir).select("file_id", "path", "content")).select(
         "file_id", "language", "rule_id", "severity", "start", "line", "column_start", "column_end", "snippet"
     )
 
 
 def pat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT1-PAT5 as counts per file and rule."""
-    return pattern_counts(_files(spark, sf_dir), ["file_id"])
+    return pattern_counts(files_and_samples(spark, sf_dir), ["file_id"])
 
 
 def sc1_scan_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG2, AGG17, SC1: severity counts and penalty score per repository, 100 where nothing was found."""
-    files = _files(spark, sf_dir)
+    files = files_and_samples(spark, sf_dir)
     counts = pattern_counts(files, ["repo"]).groupBy("repo").agg(
         *[F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(s) for s in ("critical", "high", "medium", "low")]
     )
@@ -41,7 +44,7 @@ def sc1_scan_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pat7_limited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT7: constructs of TypeScript files beyond their limit per file."""
-    ts = _files(spark, sf_dir).filter(extension("path").isin("ts", "tsx") & F.col("content").isNotNull())
+    ts = files_and_samples(spark, sf_dir).filter(extension("path").isin("ts", "tsx") & F.col("content").isNotNull())
     counts = F.array(*[F.struct(F.lit(k).alias("rule_id"), F.regexp_count("content", F.lit(rx)).alias("n"), F.lit(most).alias("most")) for k, (rx, most) in LIMITED.items()])
     return ts.select("file_id", F.explode(counts).alias("c")).select("file_id", "c.rule_id", "c.n").filter(
         any_of((F.col("rule_id") == k) & (F.col("n") > most) for k, (_, most) in LIMITED.items())
@@ -52,7 +55,7 @@ def pat8_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PAT8: declarations per language, summed over each repository."""
     out = None
     for language, counters in STRUCTURES.items():
-        files = of_language(_files(spark, sf_dir), language).filter(F.col("content").isNotNull())
+        files = of_language(files_and_samples(spark, sf_dir), language).filter(F.col("content").isNotNull())
         sums = files.groupBy("repo").agg(*[F.sum(F.regexp_count("content", F.lit(rx))).alias(name) for name, rx in counters.items()])
         part = sums.unpivot("repo", list(counters), "construct", "n").withColumn("language", F.lit(language))
         out = part if out is None else out.unionByName(part)
@@ -156,65 +159,37 @@ def jn12_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("repo", "layer").agg(F.count("*").alias("files"))
 
 
-def misc2_monorepo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MISC2: kind of a repository by marker files at its root, in fixed order."""
-    has = lambda *names: F.bool_or(F.col("path").isin(*names))
-    kind = (
-        F.when(has("nx.json"), "nx").when(has("turbo.json"), "turbo").when(has("WORKSPACE", "MODULE.bazel"), "bazel").when(has("lerna.json"), "lerna")
-        .when(has("pnpm-workspace.yaml"), "pnpm").when(has("yarn.lock"), "yarn").when(F.bool_or(F.col("path").startswith("packages/")), "generic").otherwise("none")
-    )
-    packages = F.countDistinct(F.nullif(F.regexp_extract("path", r"^packages/([^/]+)/", 1), F.lit("")))
-    return _files(spark, sf_dir).groupBy("repo").agg(kind.alias("kind"), packages.alias("packages"))
-
-
-def _oracle_patterns(body: str) -> str:
-    """A VALUES list of all patterns; look-aheads, which DuckDB lacks, are rewritten as two conditions elsewhere."""
+def _oracle_spots(body: str) -> str:
+    """``fin``: every match of every pattern. DuckDB has no look-ahead: the one for SafeLoader is a condition on the rest
+    of the match's line, and the one behind a greedy run up to the block's end always holds."""
     rows = []
     for language, patterns in SETS.items():
         for p in patterns:
-            rx = ("(?i)" if p.ignore_case else "") + p.regex.replace("(?!free)", "")
+            rx = ("(?i)" if p.ignore_case else "") + re.sub(r"\(\?!.*?\)(?=$)", "", p.regex)
             rows.append("('%s', '%s', '%s', '%s')" % (language, p.id, p.severity, rx.replace("'", "''")))
     ends = [f"('{lang}', '{e}')" for lang, es in SUFFIXES.items() for e in es]
-    yaml = "(?i)yaml\\.load\\s*\\("
-    return f"""
-WITH pats(language, rule_id, severity, rx) AS (VALUES {", ".join(r for r in rows if "yaml-unsafe" not in r)}),
+    return f"""WITH {X},
+pats(language, rule_id, severity, rx) AS (VALUES {", ".join(rows)}),
 ends(language, ext) AS (VALUES {", ".join(ends)}),
-src AS (SELECT file_id, repo, content, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]*)$', 1)) AS ext FROM files WHERE content IS NOT NULL),
-code AS (SELECT src.*, language FROM src JOIN ends USING (ext)),
-hits AS (
-  SELECT file_id, repo, language, rule_id, severity, len(regexp_extract_all(content, rx)) AS n FROM code JOIN pats USING (language)
-  UNION ALL
-  SELECT file_id, repo, language, 'yaml-unsafe-load', 'medium',
-         len(regexp_extract_all(content, '{yaml}')) - len(regexp_extract_all(content, '{yaml}.*Loader=yaml\\.SafeLoader')) FROM code WHERE language = 'python'
-)
-{body}"""
-
-
-def _oracle_scan() -> str:
-    head = _oracle_patterns("").replace("n FROM", "n, regexp_extract_all(content, rx) AS m, regexp_split_to_array(content, rx) AS g FROM")
-    head = head[: head.index("  UNION ALL\n  SELECT file_id, repo, language, 'yaml")] + ")\n"
-    return (
-        head.replace("SELECT file_id, repo, language, rule_id, severity, len", "SELECT file_id, repo, content, language, rule_id, severity, len")
-        + """, spots AS (
-  SELECT file_id, content, language, rule_id, severity, m[i] AS txt,
+code AS (SELECT file_id, repo, content, language FROM x JOIN ends ON lower(regexp_extract(name, '\\.([^.]*)$', 1)) = ext WHERE content IS NOT NULL),
+hits AS (SELECT file_id, repo, content, language, rule_id, severity, regexp_extract_all(content, rx) AS m, regexp_split_to_array(content, rx) AS g FROM code JOIN pats USING (language)),
+spots AS (
+  SELECT file_id, repo, content, language, rule_id, severity, m[i] AS txt,
          list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS start
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM hits WHERE n > 0)
-), pos AS (
-  SELECT *, left(content, start::BIGINT) AS head FROM spots
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits WHERE len(m) > 0)
 ), fin AS (
-  SELECT *, length(head) - length(replace(head, E'\\n', '')) + 1 AS line, length(head) - length(regexp_extract(head, '[^\\n]*$')) AS bol FROM pos
+  SELECT *, length(head) - length(replace(head, E'\\n', '')) + 1 AS line, length(head) - length(regexp_extract(head, '[^\\n]*$')) AS bol
+  FROM (SELECT *, left(content, start::BIGINT) AS head FROM spots)
+  WHERE rule_id <> 'yaml-unsafe-load' OR NOT contains(lower(split_part(substr(content, (start + length(txt) + 1)::BIGINT), E'\\n', 1)), 'loader=yaml.safeloader')
 )
-SELECT file_id, language, rule_id, severity, start::INTEGER AS start, line::INTEGER AS line, (start - bol + 1)::INTEGER AS column_start,
-       (start + length(txt) - bol + 1)::INTEGER AS column_end, trim(split_part(substr(content, bol + 1), E'\\n', 1), E' \\t\\r\\f\\x0B') AS snippet
-FROM fin"""
-    )
+{body}"""
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         pat_scan, pat_counts, sc1_scan_score, pat7_limited_counts, pat8_structures, agg23_line_stats, misc1_languages, flt1_exclusions, flt3_test_files,
-        win2_first_seen, agg8_duplicate_groups, jn13_untested_modules, jn12_layers, misc2_monorepo,
+        win2_first_seen, agg8_duplicate_groups, jn13_untested_modules, jn12_layers,
     )
 }
 
@@ -230,27 +205,27 @@ def _structures() -> str:
     for language, counters in STRUCTURES.items():
         ends = ", ".join(f"'{e}'" for e in SUFFIXES[language])
         for name, rx in counters.items():
-            parts.append(f"SELECT repo, '{name}' AS construct, sum(len(regexp_extract_all(content, '{rx}')))::BIGINT AS n, '{language}' AS language FROM files WHERE content IS NOT NULL AND {_EXT} IN ({ends}) GROUP BY repo")
-    return " UNION ALL ".join(parts)
-
-
-def _segments(pattern: str) -> str:
-    return pattern
+            parts.append(f"SELECT repo, '{name}' AS construct, sum(len(regexp_extract_all(content, '{rx}')))::BIGINT AS n, '{language}' AS language FROM x WHERE content IS NOT NULL AND {_EXT} IN ({ends}) GROUP BY repo")
+    return f"WITH {X} " + " UNION ALL ".join(parts)
 
 
 ORACLES = {
-    "pat_scan": _oracle_scan(),
-    "pat_counts": _oracle_patterns("SELECT file_id, language, rule_id, severity, n::INTEGER AS n FROM hits WHERE n > 0"),
-    "sc1_scan_score": _oracle_patterns(
-        """, c AS (SELECT repo, coalesce(sum(n) FILTER (severity = 'critical'), 0) AS critical, coalesce(sum(n) FILTER (severity = 'high'), 0) AS high,
-  coalesce(sum(n) FILTER (severity = 'medium'), 0) AS medium, coalesce(sum(n) FILTER (severity = 'low'), 0) AS low FROM hits GROUP BY repo)
+    "pat_scan": _oracle_spots(
+        """SELECT file_id, language, rule_id, severity, start::INTEGER AS start, line::INTEGER AS line, (start - bol + 1)::INTEGER AS column_start,
+       (start + length(txt) - bol + 1)::INTEGER AS column_end, trim(split_part(substr(content, bol + 1), E'\\n', 1), E' \\t\\r\\f\\x0B') AS snippet
+FROM fin"""
+    ),
+    "pat_counts": _oracle_spots("SELECT file_id, language, rule_id, severity, count(*)::INTEGER AS n FROM fin GROUP BY 1, 2, 3, 4"),
+    "sc1_scan_score": _oracle_spots(
+        """, c AS (SELECT repo, coalesce(count(*) FILTER (severity = 'critical'), 0) AS critical, coalesce(count(*) FILTER (severity = 'high'), 0) AS high,
+  coalesce(count(*) FILTER (severity = 'medium'), 0) AS medium, coalesce(count(*) FILTER (severity = 'low'), 0) AS low FROM fin GROUP BY repo)
 SELECT repo, coalesce(critical, 0)::BIGINT AS critical, coalesce(high, 0)::BIGINT AS high, coalesce(medium, 0)::BIGINT AS medium, coalesce(low, 0)::BIGINT AS low,
   greatest(0, least(100, 100 - coalesce(20 * critical + 8 * high + 4 * medium + low, 0)))::DOUBLE AS score
-FROM (SELECT DISTINCT repo FROM files) LEFT JOIN c USING (repo)"""
+FROM (SELECT DISTINCT repo FROM x) LEFT JOIN c USING (repo)"""
     ),
-    "pat7_limited_counts": "SELECT * FROM ("
+    "pat7_limited_counts": f"WITH {X} SELECT * FROM ("
     + " UNION ALL ".join(
-        f"SELECT file_id, '{k}' AS rule_id, len(regexp_extract_all(content, '{rx}'))::INTEGER AS n FROM files WHERE content IS NOT NULL AND {_EXT} IN ('ts', 'tsx') AND len(regexp_extract_all(content, '{rx}')) > {most}"
+        f"SELECT file_id, '{k}' AS rule_id, len(regexp_extract_all(content, '{rx}'))::INTEGER AS n FROM x WHERE content IS NOT NULL AND {_EXT} IN ('ts', 'tsx') AND len(regexp_extract_all(content, '{rx}')) > {most}"
         for k, (rx, most) in LIMITED.items()
     )
     + ")",
@@ -290,9 +265,4 @@ SELECT repo, path, replace(replace(path, '/', '.'), '.py', '') AS module FROM p
     "jn12_layers": "SELECT repo, layer, count(*) AS files FROM (SELECT repo, CASE "
     + " ".join(f"WHEN {' OR '.join(f'contains(path, {w!r})' for w in words)} THEN '{name}'" for name, words in reversed(LAYERS))
     + " END AS layer FROM files) WHERE layer IS NOT NULL GROUP BY 1, 2",
-    "misc2_monorepo": r"""
-SELECT repo, CASE WHEN bool_or(path = 'nx.json') THEN 'nx' WHEN bool_or(path = 'turbo.json') THEN 'turbo' WHEN bool_or(path IN ('WORKSPACE', 'MODULE.bazel')) THEN 'bazel'
-  WHEN bool_or(path = 'lerna.json') THEN 'lerna' WHEN bool_or(path = 'pnpm-workspace.yaml') THEN 'pnpm' WHEN bool_or(path = 'yarn.lock') THEN 'yarn'
-  WHEN bool_or(starts_with(path, 'packages/')) THEN 'generic' ELSE 'none' END AS kind,
-  count(DISTINCT nullif(regexp_extract(path, '^packages/([^/]+)/', 1), '')) AS packages FROM files GROUP BY repo""",
 }
