@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.paths import basename
 from codestrata.functions.severity import lookup
+from codestrata.operators.builds import cyclonedx_documents
 
 # ---- Fixed values ------------------------------------------------------------------------------------
 #: Spellings of licenses and their SPDX identifiers; any other spelling is its own upper case.
@@ -217,9 +218,6 @@ def outdated(deps: DataFrame) -> DataFrame:
     return d.withColumn("newest", newest).filter("major < newest")
 
 
-def cyclonedx(deps: DataFrame) -> DataFrame:
-    """SNK7: one CycloneDX component document per repository, components sorted by package URL."""
-    comp = F.struct(F.lit("library").alias("type"), "name", "version", "purl")
-    per = deps.select("repo", comp.alias("c")).distinct().groupBy("repo").agg(F.array_sort(F.collect_list("c")).alias("components"))
-    doc = F.to_json(F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), "components"))
-    return per.select("repo", F.size("components").alias("components"), doc.alias("document"))
+def cyclonedx(deps: DataFrame, size: int = 10_000) -> DataFrame:
+    """SNK7: CycloneDX documents per repository, components by package URL, at most ``size`` in each."""
+    return cyclonedx_documents(deps, size)

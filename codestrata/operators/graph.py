@@ -63,3 +63,54 @@ def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
             step = step.filter((F.col("nxt") > F.col("p")[0]) & ~F.array_contains("p", F.col("nxt")))
             paths = step.select(F.concat("p", F.array("nxt")).alias("p"), F.col("nxt").alias("last"))
     return out
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component, size`` of every node on a cycle of two or more: the exact answer where paths are too many to list.
+
+    A component is named by its smallest node. Rounds of colouring: every node takes the largest node that reaches it;
+    of those of one colour, the ones that reach back to it are its component and leave the graph. Nodes without a
+    way in or out leave first. Every round settles at least the largest node of every colour, so the rounds end.
+    """
+    e = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    done = None
+    while not e.isEmpty():
+        while True:  # trim what can be on no cycle
+            keep = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+            kept = cut(keep.select("src", "dst"))
+            if kept.count() == e.count():
+                break
+            e = kept
+        if e.isEmpty():
+            break
+        nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+        colour = cut(nodes.withColumn("colour", F.col("node")))
+        while True:
+            given = colour.unionByName(colour.join(e, colour.node == e.src).select(F.col("dst").alias("node"), "colour"))
+            new = cut(given.groupBy("node").agg(F.max("colour").alias("colour")))
+            moved = new.join(colour.withColumnRenamed("colour", "old"), "node").filter("colour <> old").isEmpty()
+            colour = new
+            if moved:
+                break
+        a, b = colour.withColumnsRenamed({"node": "src", "colour": "ca"}), colour.withColumnsRenamed({"node": "dst", "colour": "cb"})
+        inner = cut(e.join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst", F.col("ca").alias("colour")))
+        back = cut(colour.filter("node = colour"))
+        frontier = back
+        while True:
+            step = frontier.select(F.col("node").alias("dst"), "colour").join(inner, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
+            frontier = cut(step.join(back, ["node", "colour"], "left_anti"))
+            if frontier.isEmpty():
+                break
+            back = cut(back.unionByName(frontier))
+        done = back if done is None else done.unionByName(back)
+        gone = back.select("node")
+        e = cut(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if done is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("bigint").alias("size")).limit(0)
+    sizes = done.groupBy("colour").agg(F.min("node").alias("component"), F.count("*").alias("size")).filter("size > 1")
+    return done.join(sizes, "colour").select("node", "component", "size")
+
+
+def first_cycles(found: DataFrame, k: int) -> DataFrame:
+    """TOP10: the first ``k`` cycles, shortest first (a top-k report)."""
+    return found.orderBy("length", "path").limit(k)

@@ -51,10 +51,10 @@ def condition(text: str | None) -> Column:
     return out
 
 
-def apply(files: DataFrame, rules: Sequence[dict], metrics: DataFrame | None = None, tags: Sequence[str] | None = None) -> DataFrame:
+def apply(files: DataFrame, rules: Sequence[dict], metrics: DataFrame | None = None, tags: Sequence[str] | None = None, parsed: DataFrame | None = None) -> DataFrame:
     """``file_id, rule_id, severity, line`` of every match.
 
-    ``metrics`` is ``file_id, name, value``. Composite rules combine the others by file: all, any or none of
+    ``metrics`` is ``file_id, name, value``; ``parsed`` are the nodes of the files, if they are known. Composite rules combine the others by file: all, any or none of
     their sub-rules; an unknown or disabled sub-rule never matches, so that ``all`` with one never holds.
     """
     active = enabled(rules, tags)
@@ -65,7 +65,7 @@ def apply(files: DataFrame, rules: Sequence[dict], metrics: DataFrame | None = N
     trees = [r for r in active if r["type"] == "ast_pattern"]
     if trees:
         hits = F.array(*[F.when((F.col("kind") == r["ast_pattern"]) & F.coalesce(condition(r.get("ast_condition")), F.lit(False)), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"))) for r in trees])
-        parts.append(nodes(files).select("file_id", "line", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("file_id", "h.rule_id", "h.severity", "line"))
+        parts.append((parsed if parsed is not None else nodes(files)).select("file_id", "line", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("file_id", "h.rule_id", "h.severity", "line"))
     limits = [r for r in active if r["type"] == "metric_threshold"]
     if limits and metrics is not None:
         hits = F.array(

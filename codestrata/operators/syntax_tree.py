@@ -8,12 +8,13 @@ index.
 from __future__ import annotations
 
 import ast
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import extension
@@ -21,7 +22,7 @@ from codestrata.functions.paths import extension
 NODES = "file_id bigint, node bigint, parent bigint, kind string, name string, line int, end_line int, depth int, attrs map<string,string>"
 FUNCTIONS = (
     "file_id bigint, name string, owner string, line int, length int, params int, returns int, complexity int, has_doc boolean, typed boolean, "
-    "doc string, is_async boolean"
+    "doc string, is_async boolean, assert_calls int, injected boolean, decorators string, bare_excepts int"
 )
 CLASSES = "file_id bigint, name string, line int, methods int, public int, private int, attributes int, has_doc boolean, bases string, method_names array<string>"
 MODULES = (
@@ -101,6 +102,11 @@ def halstead(tree: ast.AST) -> tuple[float, float, float, float]:
     return volume, difficulty, volume * difficulty, volume / 3000
 
 
+def _last_name(func: ast.AST) -> str:
+    """The name that a call ends with."""
+    return func.attr if isinstance(func, ast.Attribute) else func.id if isinstance(func, ast.Name) else ""
+
+
 def _doc(node: ast.AST) -> str | None:
     return ast.get_docstring(node, clean=False)
 
@@ -114,9 +120,13 @@ def _functions(file_id: int, tree: ast.Module) -> Iterator[tuple]:
             own = [x for x in args if x.arg not in ("self", "cls")]
             typed = node.returns is not None or any(x.annotation is not None for x in own)
             doc = _doc(node)
+            calls = [_last_name(x.func) for x in ast.walk(node) if isinstance(x, ast.Call)]
+            injected = node.name == "__init__" and any(x.annotation is not None for x in a.args)
+            bare = sum(isinstance(x, ast.ExceptHandler) and x.type is None for x in ast.walk(node))
             yield (
                 file_id, node.name, owners.get(id(node)), node.lineno, (node.end_lineno or node.lineno) - node.lineno + 1, len(own),
                 sum(isinstance(x, ast.Return) for x in ast.walk(node)), complexity(node), doc is not None, typed, doc, isinstance(node, ast.AsyncFunctionDef),
+                sum(c.startswith("assert") for c in calls), injected, ",".join(ast.unparse(d) for d in node.decorator_list), bare,
             )
 
 
@@ -154,24 +164,38 @@ def _name_of(node: ast.AST) -> str | None:
     return getattr(node, "name", None) or getattr(node, "id", None) or getattr(node, "attr", None) or getattr(node, "arg", None)
 
 
+# ---- Fixed values: words of queries ----
+SQL_WORDS = ["select", "insert", "update", "delete", "from", "where", "join"]
+# ----------------------------------------
+
+
+def _is_sql(node: ast.AST) -> bool:
+    """AST2: whether a literal text holds a word of queries."""
+    return isinstance(node, ast.Constant) and isinstance(node.value, str) and any(w in node.value.lower() for w in SQL_WORDS)
+
+
 def _attrs(node: ast.AST) -> dict[str, str]:
     out: dict[str, str] = {}
     if isinstance(node, ast.ExceptHandler):
         out["type"] = ast.unparse(node.type) if node.type else ""
     elif isinstance(node, ast.Call):
-        out.update({f"kw_{k.arg}": ast.unparse(k.value)[:200] for k in node.keywords if k.arg})
+        out.update({f"kw_{k.arg}": ast.unparse(k.value) for k in node.keywords if k.arg})
         out["args"] = str(len(node.args))
     elif isinstance(node, ast.ImportFrom):
         out["names"] = ",".join(a.name for a in node.names)
         out["level"] = str(node.level)
     elif isinstance(node, ast.Constant):
-        out["value"] = repr(node.value)[:200]
+        out["value"] = repr(node.value)
         out["type"] = type(node.value).__name__
     elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
         out["targets"] = ",".join(ast.unparse(t) for t in node.targets)
         out["length"] = str(len(node.value.value))
     elif isinstance(node, ast.BinOp):
         out["op"] = type(node.op).__name__
+        if isinstance(node.op, ast.Add) and (_is_sql(node.left) or _is_sql(node.right)):
+            out["sql"] = "True"
+    elif isinstance(node, ast.Name):
+        out["stored"] = str(isinstance(node.ctx, ast.Store))
     return out
 
 
@@ -185,31 +209,58 @@ def _nodes(file_id: int, tree: ast.Module) -> Iterator[tuple]:
         todo += [(child, here, depth + 1) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
+#: Node kind of the row that carries a file's measures in ``nodes(measures=True)``.
+MEASURES = "<measures>"
+
+
 def _table(files: DataFrame, schema: str, rows) -> DataFrame:
+    """Rows of every file that parses, with ``file_id`` and, where the files have them, ``repo`` and ``path``."""
     columns = [c.split()[0] for c in schema.replace("map<string,string>", "map").replace("array<string>", "array").split(", ")]
+    keep = [c for c in ("repo", "path") if c in files.columns and c not in columns]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), 200):
-                part, out = pdf.iloc[start : start + 200], []
+                part, out, sizes = pdf.iloc[start : start + 200], [], []
                 for file_id, text in zip(part["file_id"], part["content"], strict=True):
-                    tree = _parse(text)
+                    tree, before = _parse(text), len(out)
                     if tree is not None:
                         out += rows(file_id, tree, text)
+                    sizes.append(len(out) - before)
                 if out:
                     frame = pd.DataFrame(out, columns=columns)
                     for c in ("line", "end_line"):
                         if c in frame:
                             frame[c] = frame[c].astype("Int32")
+                    for c in keep:
+                        frame[c] = part[c].repeat(sizes).tolist()
                     yield frame
 
-    some = files.filter(extension("path").isin("py", "pyi") & F.col("content").isNotNull()).select("file_id", "content")
-    return some.mapInPandas(walk, schema)
+    some = files.filter(extension("path").isin("py", "pyi") & F.col("content").isNotNull()).select("file_id", *keep, "content")
+    return some.mapInPandas(walk, ", ".join([schema, *(f"{c} string" for c in keep)]))
+
+
+def nodes(files: DataFrame, measures: bool = False) -> DataFrame:
+    """AST1, D3: every node with its parent, in document order.
 
+    With ``measures`` every file has one more row, of kind ``MEASURES``, whose attributes are its measures, so that one
+    parse serves both.
+    """
+    names = [c.split()[0] for c in MODULES.split(", ")][1:]
 
-def nodes(files: DataFrame) -> DataFrame:
-    """AST1, D3: every node with its parent, in document order."""
-    return _table(files, NODES, lambda i, tree, text: _nodes(i, tree))
+    def rows(i: int, tree: ast.Module, text: str) -> Iterator[tuple]:
+        yield from _nodes(i, tree)
+        if measures:
+            values = next(_module(i, tree, text))[1:]
+            yield i, -1, None, MEASURES, None, None, None, 0, {n: str(v) for n, v in zip(names, values, strict=True)}
+
+    return _table(files, NODES, rows)
+
+
+def measures_of(parsed: DataFrame, names: list[str]) -> DataFrame:
+    """``file_id, name, value`` of the rows of kind ``MEASURES``."""
+    m = parsed.filter(F.col("kind") == MEASURES)
+    return m.select("file_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.element_at("attrs", n).cast("double").alias("value")) for n in names])).alias("m")).select("file_id", "m.*")
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -225,3 +276,26 @@ def classes(files: DataFrame) -> DataFrame:
 def modules(files: DataFrame) -> DataFrame:
     """AST7-AST9: measures of each file."""
     return _table(files, MODULES, lambda i, tree, text: _module(i, tree, text))
+
+
+def signatures(files: DataFrame) -> DataFrame:
+    """AST18: ``file_id, sig, nodes``: a hash of a file's node kinds in document order, made where the file is parsed."""
+
+    def rows(i: int, tree: ast.Module, text: str) -> Iterator[tuple]:
+        kinds = [n[3] for n in _nodes(i, tree)]
+        yield i, hashlib.sha256("|".join(kinds).encode()).hexdigest(), len(kinds)
+
+    return _table(files, "file_id bigint, sig string, nodes int", rows)
+
+
+def doc_quality(doc: Column) -> Column:
+    """PAT14: points of a docstring for a summary, a blank line behind it, parameters, results, errors, examples and length."""
+    text = F.coalesce(doc, F.lit(""))
+    lines = F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n", -1)
+    has = lambda rx: F.when(text.rlike(rx), 1).otherwise(0)
+    points = (
+        20 * F.when(F.trim(lines[0]) != "", 1).otherwise(0)
+        + 10 * F.when((F.size(lines) > 1) & (F.regexp_replace(F.get(lines, 1), r"\s", "") == ""), 1).otherwise(0)
+        + 20 * has(":param|:arg") + 20 * has(":return|:rtype") + 10 * has(":raises|:exception") + 10 * has("(?i)example|>>>") + 10 * F.when(F.length(text) > 100, 1).otherwise(0)
+    )
+    return F.when(text == "", 0).otherwise(F.least(points, F.lit(100)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.severity import sarif_level, status
+from codestrata.functions.severity import lookup, sarif_level, status
 
 
 #: Findings in one document; a repository with more gets several, so that no document grows with the data.
@@ -70,3 +70,64 @@ def write_documents(documents: DataFrame, path: str) -> None:
 def write_benchmark(rows: DataFrame, path: str) -> None:
     """SNK13."""
     rows.write.mode("overwrite").json(path)
+
+
+def _text(column: str) -> Column:
+    """A column with the five characters replaced that mean something in HTML."""
+    out = F.coalesce(column, F.lit(""))
+    for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ('"', "quot"), ("'", "#x27")):
+        out = F.replace(out, F.lit(mark), F.lit(f"&{name};"))
+    return out
+
+
+def html(scores: DataFrame, findings: DataFrame, most: int = 20) -> DataFrame:
+    """SNK4, TOP4: ``repo, document``: a page per repository with its categories, worst first, and its first ``most`` critical and high findings in order (``ord``)."""
+    row = F.concat(F.lit("<tr><td>"), _text("category"), F.lit("</td><td>"), F.format_string("%.1f", "score"), F.lit("</td><td>"), status(F.col("score")), F.lit("</td></tr>"))
+    cats = scores.filter("score IS NOT NULL").groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("score", "category", row.alias("row")))), lambda x: x["row"]), "\n").alias("rows"))
+    item = F.concat(F.lit("<li>"), _text("severity"), F.lit(": "), _text("rule_id"), F.lit(" "), _text("file_path"), F.lit("</li>"))
+    listed = first_findings(findings, most).groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))), lambda x: x["item"]), "\n").alias("items"))
+    head = F.concat(F.lit("<!DOCTYPE html>\n<html><head><title>"), _text("repo"), F.lit("</title></head><body>\n<h1>"), _text("repo"), F.lit("</h1>\n<table>\n"))
+    body = F.concat(head, "rows", F.lit("\n</table>\n<ul>\n"), F.coalesce("items", F.lit("")), F.lit("\n</ul>\n</body></html>\n"))
+    return cats.join(listed, "repo", "left").select("repo", body.alias("document"))
+
+
+def first_findings(findings: DataFrame, most: int) -> DataFrame:
+    """TOP4: the first ``most`` critical and high findings of every repository in order (``ord``), numbered."""
+    n = F.row_number().over(Window.partitionBy("repo").orderBy("ord"))
+    return findings.filter(F.col("severity").isin("critical", "high")).withColumn("n", n).filter(F.col("n") <= most)
+
+
+def console(overall: DataFrame, scores: DataFrame) -> DataFrame:
+    """SNK5: ``repo, text``: the summary that is printed: score and risk, then the categories from best to worst."""
+    line = F.format_string("  %-20s %5.1f", "category", "score")
+    lines = scores.filter("score IS NOT NULL").groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "category", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return overall.join(lines, "repo").select("repo", F.concat(F.format_string("%s: %.1f (%s)\n", "repo", "overall_score", "risk_level"), "lines").alias("text"))
+
+
+# ---- Fixed values: marks of changes ----
+MARKS = {"improved": "[+]", "regressed": "[-]", "new": "[+]", "removed": "[-]", "unchanged": "[=]"}
+# ----------------------------------------
+
+
+def _changes(diff: DataFrame) -> DataFrame:
+    """TOP6: what a comparison shows, worst change first within a repository and snapshot; unchanged categories under 0.1 are hidden."""
+    before, after = F.coalesce("before", F.lit(0.0)), F.coalesce("after", F.lit(0.0))
+    rows = diff.withColumn("before", before).withColumn("after", after)
+    return rows.filter((F.col("change") != "unchanged") | (F.abs("delta") >= 0.1))
+
+
+def comparison(diff: DataFrame, form: str = "console") -> DataFrame:
+    """SNK9, TOP6: ``repo, snapshot_no, document`` of rows ``repo, snapshot_no, category, before, after, delta, change`` as console text, markdown or json."""
+    mark = lookup(F.col("change"), MARKS, "[?]")
+    if form == "json":
+        item = F.struct("delta", "category", F.struct("category", F.col("before").alias("score_before"), F.col("after").alias("score_after"), "delta", F.col("change").alias("change_type")).alias("c"))
+        per = _changes(diff).groupBy("repo", "snapshot_no").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("categories"))
+        return per.select("repo", "snapshot_no", F.to_json(F.struct("repo", "snapshot_no", "categories")).alias("document"))
+    if form == "markdown":
+        line = F.format_string("### %s %s\n- **Score:** %.1f -> %.1f (%+.1f)\n- **Change:** %s", mark, "category", "before", "after", "delta", "change")
+        head = F.format_string("# Comparison of %s, snapshot %d\n\n", "repo", "snapshot_no")
+    else:
+        line = F.format_string("  %s %-20s %5.1f -> %5.1f (%+.1f)", mark, "category", "before", "after", "delta")
+        head = F.format_string("%s, snapshot %d\n", "repo", "snapshot_no")
+    per = _changes(diff).groupBy("repo", "snapshot_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("delta", "category", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
+    return per.select("repo", "snapshot_no", F.concat(head, "lines").alias("document"))

@@ -1,6 +1,7 @@
 """Reading repositories and the results of other tools.
 
-External programs are not run: their output is read as text or tables and mapped to the shape of findings.
+Analyzers are not run: their output is read as text or tables and mapped to the shape of findings. The only program
+that is called, by ``read_log`` and on the driver, is git.
 """
 
 from __future__ import annotations
@@ -8,10 +9,11 @@ from __future__ import annotations
 import json
 import re
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions.paths import excluded, included
@@ -38,16 +40,37 @@ EXCLUDE = [
 def scan_repository(spark: SparkSession, root: str, repo: str | None = None, include: Sequence[str] = INCLUDE, exclude: Sequence[str] = EXCLUDE) -> DataFrame:
     """SRC1-SRC3: ``repo, path, ord, content`` of the files under ``root``; bytes that are no UTF-8 are dropped.
 
-    Exclusion goes first and by whole path segments; the order is that of the paths.
+    Exclusion goes first and by whole path segments; the order is that of the paths. Spark's file reader leaves out
+    names that begin with ``_`` or ``.`` (``__init__.py``) and empty files, so those are listed and read beside it.
     """
     base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + re.escape(base.removeprefix("file://")) + "/", "")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).filter("length > 0").select("path", "content").unionByName(_hidden(spark, base))
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/*", "/"), "^" + re.escape("/" + re.sub(r"^[a-z0-9]+:/*", "/", base).lstrip("/")) + "/", "")
     rows = files.select(path.alias("path"), "content").filter(~excluded("path", exclude, by_segment=True) & included("path", include))
     text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\ufffd", "")
     return rows.select(F.lit(repo or Path(base).name).alias("repo"), "path", F.xxhash64("path").alias("ord"), text.alias("content"))
 
 
+def _hidden(spark: SparkSession, base: str) -> DataFrame:
+    """``path, content`` of the files under ``base`` that are empty or have a part of their path that begins with ``_`` or ``.``."""
+    import pyarrow.fs as pafs
+
+    uri = base if re.match(r"^[a-z0-9]+:", base) else "file://" + str(Path(base).resolve())
+    fs, root = pafs.FileSystem.from_uri(uri)
+    inside = len(root.rstrip("/")) + 1
+    names = [f.path for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.type == pafs.FileType.File and (not f.size or re.search(r"(?:^|/)[_.]", f.path[inside:]))]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from_fs, _ = pafs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            for path in pdf["path"]:
+                with from_fs.open_input_stream(path) as f:
+                    yield pd.DataFrame({"path": [path], "content": [f.read()]})
+
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    return listed.filter(~F.col("path").rlike(r"/\.git/|/__pycache__/")).mapInPandas(read, "path string, content binary")
+
+
 LOG_FORMAT = "%x1e%H%x1f%an%x1f%ae%x1f%aI%x1f%P%x1f%s"
 
 
@@ -72,9 +95,9 @@ def parse_log(spark: SparkSession, logs: DataFrame) -> tuple[DataFrame, DataFram
     commits = one.select(
         "repo", "commit_ord", head[0].alias("hash"), head[1].alias("author"), head[2].alias("email"), F.to_timestamp_ntz(F.substring(stamp, 1, 19)).alias("ts"),
         F.coalesce(F.when(offset == "-", -minutes).otherwise(minutes), F.lit(0)).alias("utc_offset_min"), F.trim(head[5]).alias("message"), F.contains(F.trim(head[4]), F.lit(" ")).alias("is_merge"),
-        F.size(F.filter(F.slice(lines, 2, 100_000), lambda x: F.trim(x) != "")).alias("files_changed"),
+        F.size(F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x) != "")).alias("files_changed"),
     )
-    touched = one.select("repo", "commit_ord", F.explode(F.slice(lines, 2, 100_000)).alias("path")).filter(F.trim("path") != "")
+    touched = one.select("repo", "commit_ord", F.explode(F.slice(lines, F.lit(2), F.size(lines))).alias("path")).filter(F.trim("path") != "")
     return commits, touched
 
 
@@ -108,7 +131,22 @@ def parse_changes(status: DataFrame) -> DataFrame:
     return status.select(F.explode(step["out"]).alias("c")).select("c.*")
 
 
-def full_scan_needed(changes: DataFrame, limit: int = 50) -> bool:
+def authors_of(commits: DataFrame) -> DataFrame:
+    """SRC6: ``repo, author, commits`` of parsed logs."""
+    return commits.groupBy("repo", "author").agg(F.count("*").alias("commits"))
+
+
+def newest_commits(commits: DataFrame, most: int) -> DataFrame:
+    """TOP12: the newest ``most`` commits of every repository (a limit of the report), ties by place in the log."""
+    n = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("ts"), "commit_ord", "hash"))
+    return commits.withColumn("n", n).filter(F.col("n") <= most)
+
+
+#: More changed files than an incremental run is worth.
+FULL_SCAN_LIMIT = 50
+
+
+def full_scan_needed(changes: DataFrame, limit: int = FULL_SCAN_LIMIT) -> bool:
     """GR4: more changed files than an incremental run is worth."""
     return changes.limit(limit + 1).count() > limit
 
