@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["p4_snapshots", "p2_nested", "q_scan", "q_findings", "q_history", "q_code", "q_reports", "q_manifests", "q_scores", "q_tools", "q_more"]
+MODULES = ["p4_snapshots", "p2_nested", "q_scan", "q_findings", "q_history", "q_code", "q_reports", "q_manifests", "q_scores", "q_tools", "q_more", "q_trees"]
 
 
 def queries() -> dict[str, Query]:
