@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 #: The schema graph is a property of the formats, not of the rows; more edges than this mean that data were
 #: taken for member names, and the operator refuses instead of filling the driver.
 MAX_EDGES = 1_000_000
-#: Nesting beyond this is unreadable (no JSON writer makes it; it only serves to exhaust a parser).
+#: Places deeper than this are no part of the schema graph: what stands there is kept as JSON text in the deepest
+#: table above it, and ``reading`` counts the records. Deeper than the parser can go a record is unreadable.
 MAX_DEPTH = 400
 #: A plain member of fewer than this share of the records of its place is taken for data, not for a name.
 RARE = 0.001
@@ -63,6 +64,13 @@ def _embedded(value: object) -> object:
     return value
 
 
+def _type(value: object) -> str | None:
+    """Edge kind that tells the type of a plain value."""
+    if isinstance(value, bool):
+        return "type:bool"
+    return "type:int" if isinstance(value, int) else "type:float" if isinstance(value, float) else "type:text" if isinstance(value, str) else None
+
+
 def _kind(value: object) -> str:
     if value is None:
         return "null"
@@ -85,6 +93,8 @@ def _edges(root: object) -> Counter:
             for name, member in value.items():
                 member = _embedded(member)
                 out[(place, name, _kind(member))] += 1
+                if (kind := _type(member)) is not None:
+                    out[(place, name, kind)] += 1
                 if isinstance(member, dict | list):
                     todo.append(((*place, name), member))
         elif isinstance(value, list):
@@ -117,7 +127,7 @@ def schema_graph(df: DataFrame, payload: str) -> DataFrame:
     # Plain members that are rare at their place are data used as names (files, authors): they become '*',
     # so that the graph stays as small as the formats are.
     most = F.max("records").over(Window.partitionBy("place"))
-    rare = (F.col("kind").isin("scalar", "null")) & (F.col("records") < RARE * F.col("most")) & (F.col("member") != "[]")
+    rare = (F.col("kind").isin("scalar", "null") | F.startswith("kind", F.lit("type:"))) & (F.col("records") < RARE * F.col("most")) & (F.col("member") != "[]")
     return (
         counted.withColumn("most", most)
         .withColumn("member", F.when(rare, F.lit("*")).otherwise(F.col("member")))
@@ -167,6 +177,8 @@ def plan_tables(edges: Iterable[tuple[str, str, str, int]], merge: dict[str, str
     recursive: set[str] = set()
     for place, member, kind, n in edges:
         parts = place.split("/") if place else []
+        if kind.startswith("type:"):
+            continue
         if member == "[]":
             if parts and kind == "object":
                 holds.add(parts[-1])
@@ -283,8 +295,10 @@ def rows_of(root: object, plan: Plan, labels: dict[str, tuple[str, ...]]) -> Ite
         todo += reversed(later)
 
 
-def flatten(df: DataFrame, key: str, payload: str, plan: Plan, labels: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """One row per object of every readable record (``NODE_SCHEMA``).
+def flatten(
+    df: DataFrame, key: str, payload: str, plan: Plan, labels: dict[str, tuple[str, ...]] | None = None, only: Iterable[str] | None = None, attributes: bool = True
+) -> DataFrame:
+    """One row per object of every readable record (``NODE_SCHEMA``), or of the elements in ``only``; without ``attributes`` these are null.
 
     ``(_key, node)`` identifies a row, ``(_key, parent)`` its parent. ``pos`` is the position in the
     parent's list (0 for a lone object), ``name`` the key in a keyed collection, ``label`` what ``labels``
@@ -296,6 +310,7 @@ def flatten(df: DataFrame, key: str, payload: str, plan: Plan, labels: dict[str,
     repeated records give their rows again under their own key.
     """
     names = labels or {}
+    wanted = None if only is None else frozenset(only)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["_key", "element", "node", "parent", "pos", "name", "label", "attrs", "up"]
@@ -307,24 +322,81 @@ def flatten(df: DataFrame, key: str, payload: str, plan: Plan, labels: dict[str,
                     if root is None:
                         continue
                     for element, node, parent, pos, name, label, attrs, up in rows_of(root, plan, names):
+                        if wanted is not None and element not in wanted:
+                            continue
                         chain = [dict(zip(("element", "node", "pos", "label"), u, strict=True)) for u in up]
-                        out.append((k, element, node, parent, pos, name, label, json.dumps(attrs, ensure_ascii=False), chain))
+                        out.append((k, element, node, parent, pos, name, label, json.dumps(attrs, ensure_ascii=False) if attributes else None, chain))
                 if out:
                     yield pd.DataFrame(out, columns=columns)
 
     return df.select(key, payload).filter(F.col(payload).isNotNull()).mapInPandas(walk, NODE_SCHEMA)
 
 
-def inline_columns(graph_rows: Iterable[tuple[str, str, str, int]], plan: Plan, element: str) -> list[str]:
-    """Names of the columns that ``flatten`` inlines into ``element``, from the graph alone."""
-    out: set[str] = set()
+def inline_columns(graph_rows: Iterable[tuple[str, str, str, int]], plan: Plan, element: str) -> dict[str, str]:
+    """Names and Spark types of the columns that ``flatten`` inlines into ``element``, from the graph alone.
+
+    A column of one type of numbers or truth values has it; mixed ones, texts and JSON are strings. ``record`` is the
+    table of the records themselves.
+    """
+    kinds: dict[str, set[str]] = defaultdict(set)
     for place, member, kind, _ in graph_rows:
         parts = [p for p in (place.split("/") if place else []) if p != "[]"]
-        at = max((i for i, p in enumerate(parts) if (e := plan.of_member(p)) and e.name == element), default=None)
-        if at is None or member == "[]" or kind == "object":
+        at = max((i for i, p in enumerate(parts) if plan.of_member(p)), default=-1)
+        owner = plan.of_member(parts[at]) if at >= 0 else None
+        if (owner.name if owner else "record") != element or member in ("[]", "*") or kind == "object" and member not in plan.open_members:
             continue
         inner = parts[at + 1 :]
-        if any(plan.of_member(p) for p in inner) or plan.of_member(member):
+        if owner is not None and member in owner.members or plan.of_member(member) or any(p in plan.open_members for p in inner):
             continue
-        out.add("_".join([*inner, member]))
-    return sorted(out)
+        if owner is not None and owner.keyed and not inner and member not in owner.item_names:
+            continue  # the key of a keyed collection
+        if owner is not None and owner.keyed and inner and inner[0] not in owner.item_names:
+            inner = inner[1:]
+            if (inner[0] if inner else member) not in owner.item_names:  # an entry that is itself a value
+                if "value" in plan.open_members:
+                    kinds["value"].add("object")
+                    continue
+                inner = ["value", *inner]
+        kinds["_".join([*inner, member])].add(kind)
+    types = {frozenset({"type:int"}): "bigint", frozenset({"type:float"}): "double", frozenset({"type:int", "type:float"}): "double", frozenset({"type:bool"}): "boolean"}
+    out = {}
+    for name, seen in sorted(kinds.items()):
+        plain = frozenset(k for k in seen if k.startswith("type:"))
+        out[name] = "string" if seen & {"list", "object"} else types.get(plain, "string")
+    return out
+
+
+def _depth(text: str) -> int:
+    """Brackets that are open at once, outside of strings."""
+    depth = most = 0
+    inside = escaped = False
+    for c in text:
+        if inside:
+            inside, escaped = escaped or c != '"', c == "\\" and not escaped
+        elif c == '"':
+            inside = True
+        elif c in "[{":
+            depth += 1
+            most = max(most, depth)
+        elif c in "]}":
+            depth -= 1
+    return most
+
+
+def reading(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """``key, outcome``: whether a record was ``read``, has parts that are too ``deep`` for the graph, is ``null``, ``empty`` or ``unreadable``."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf[payload]:
+                if not text:
+                    out.append("null" if text is None else "empty")
+                elif parse(text) is None:
+                    out.append("unreadable")
+                else:
+                    brackets = text.count("[") + text.count("{")
+                    out.append("deep" if brackets > MAX_DEPTH and _depth(text) > MAX_DEPTH else "read")
+            yield pd.DataFrame({"_key": pdf[key], "outcome": out})
+
+    return df.select(key, payload).mapInPandas(walk, "_key bigint, outcome string").withColumnRenamed("_key", key)

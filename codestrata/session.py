@@ -57,30 +57,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset (tests, a laptop) a temporary
-    folder is made and kept in the session's configuration.
+    It is what ``spark.checkpoint.dir`` names; only where that is unset on a local master (tests, a laptop) a temporary
+    folder is made and kept in the session's configuration. On a cluster without the setting this is an error, as no
+    folder of one machine could be read by the others.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = spark.conf.get("codestrata.checkpoint.dir", None)
         if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             path = "file://" + tempfile.mkdtemp(prefix="codestrata-")
             spark.conf.set("codestrata.checkpoint.dir", path)
     return path
 
 
+def cut_folder(spark: SparkSession) -> str:
+    """Where the tables of this application are written."""
+    return f"{shared_folder(spark)}/codestrata/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there.
 
     A written Parquet table survives the loss of any executor, keeps column pruning for later readers and
-    gives the optimizer real sizes, which a cached or locally checkpointed frame does not.
+    gives the optimizer real sizes, which a cached or locally checkpointed frame does not. The table is deleted
+    when the application ends, or by ``drop_cuts``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/codestrata/{uuid.uuid4().hex}"
+    path = f"{cut_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all tables that ``cut`` has written in this application; frames that read them are no longer usable."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(cut_folder(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Upper estimate of the optimizer for the size of ``df``; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from codestrata.operators.nested import collect_plan, parse, plan_tables, schema_graph
+from codestrata.operators.nested import collect_plan, parse, plan_tables, reading, schema_graph
 from codestrata.plans.p2_nested import ELEMENTS, flat_table, found
 from codestrata.session import table
 
@@ -100,3 +100,21 @@ def test_plan_shares_inlines_and_refuses(spark):
     tree = plan_tables([("", "node", "object", 3), ("node", "node", "object", 2), ("node", "v", "scalar", 3)])
     assert tree.of_member("node") is not None  # recursive
     assert collect_plan(schema_graph(raw(spark, LIST), "payload"), ELEMENTS).of_member("categories").name == "category"
+
+
+def test_columns_come_from_the_graph(spark, sf_dir):
+    """Every inlined member is in a column or in ``rest``, and categories point to the table of records."""
+    df = table(spark, sf_dir, "analysis_raw")
+    cats, records, metrics = (flat_table(df, k) for k in ("category", "record", "metric"))
+    assert {"score", "weight", "duration_ms", "category_"} <= set(cats.columns) and dict(cats.dtypes)["score"] == "double"
+    assert "overall_score" in records.columns and "value" in metrics.columns and len(metrics.columns) < 12
+    assert cats.selectExpr("record_id", "parent_id AS id").join(records.select("record_id", "id"), ["record_id", "id"], "left_anti").count() == 0
+    extra = spark.createDataFrame([(1, '{"categories": [{"category": "a", "Score": 1, "score": 2.5, "odd": {"x": true}, "findings": []}]}')], "record_id bigint, payload string")
+    row = flat_table(extra, "category").first()
+    assert (row.odd_x, row.rest) == (True, None) and {row.Score, row.score_} == {1, 2.5}
+
+
+def test_reading_tells_why(spark):
+    deep = "[" * 500 + "]" * 500
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "{"), (4, deep), (5, "{}"), (6, "NaN")], "record_id bigint, payload string")
+    assert {r.record_id: r.outcome for r in reading(df, "record_id", "payload").collect()} == {1: "null", 2: "empty", 3: "unreadable", 4: "deep", 5: "read", 6: "unreadable"}
