@@ -68,7 +68,7 @@ _PACKAGE = "name STRING, license STRING, repository STRING, workspaces STRING, d
 
 
 def _package(files: DataFrame, *names: str) -> DataFrame:
-    some = files.filter(basename("path").isin(*names) & F.col("content").isNotNull())
+    some = files.filter(basename("path").isin(*names) & F.col("content").isNotNull()).select(*[c for c in ("file_id", "repo", "path", "content") if c in files.columns])
     valid = F.try_parse_json("content").isNotNull()
     return some.withColumn("valid", valid).withColumn("p", F.when(valid, F.from_json("content", _PACKAGE)))
 

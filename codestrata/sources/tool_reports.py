@@ -48,7 +48,7 @@ def audit_findings(reports: DataFrame) -> DataFrame:
 def outdated_packages(reports: DataFrame) -> DataFrame:
     """Lists of outdated packages: ``repo, name, version, latest, majors`` behind (null where versions are no numbers)."""
     j = _json(reports, "ARRAY<STRUCT<name:STRING,version:STRING,latest_version:STRING>>")
-    p = j.select("repo", F.explode("j").alias("p")).select("repo", F.lower("p.name").alias("name"), "p.version", F.col("p.latest_version").alias("latest"))
+    p = j.select("repo", F.explode("j").alias("p")).select("repo", F.lower("p.name").alias("name"), "p.version", F.col("p.latest_version").alias("latest")).filter("name IS NOT NULL")
     major = lambda c: F.split_part(c, F.lit("."), F.lit(1)).try_cast("int")
     return p.withColumn("majors", major("latest") - major("version"))
 
@@ -56,7 +56,7 @@ def outdated_packages(reports: DataFrame) -> DataFrame:
 def installed_packages(reports: DataFrame) -> DataFrame:
     """SRC20: lists of installed packages: ``repo, name, version, purl``."""
     j = _json(reports, "ARRAY<STRUCT<name:STRING,version:STRING>>")
-    p = j.select("repo", F.explode("j").alias("p")).select("repo", F.lower("p.name").alias("name"), "p.version")
+    p = j.select("repo", F.explode("j").alias("p")).select("repo", F.lower("p.name").alias("name"), "p.version").filter("name IS NOT NULL")
     return p.withColumn("purl", F.concat(F.lit("pkg:pypi/"), "name", F.lit("@"), "version"))
 
 
