@@ -24,7 +24,6 @@ MULTI_BYTE = ["cp932", "euc_jp", "gbk", "big5", "euc_kr"]
 TOKEN = re.compile(r"[^ \t\r\n]+")
 #: Longer tokens (lines of scripts without spaces) hardly come twice; what is known about them is not kept.
 KEPT_TOKEN = 64
-_TWO = re.compile(r"[^\x00-\x7f]{2}")
 _UTF8 = re.compile(
     rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
@@ -240,10 +239,12 @@ class Detector:
         self.model, self.margin = model, margin
         self.chains = candidates or chains()
         self._tokens: dict[str, list[tuple[int, float, str]]] = {}
-        self._gaining: dict[str, bool] = {}
+        self._gaining: dict[str, float] = {}
+        self._long: dict[str, list[tuple[int, float, str]]] = {}
         plain = {k: c for k, c in enumerate(self.chains) if c.right != "utf-8" and c.right not in MULTI_BYTE}
         self._tables = {k: {ord(a): b for a, b in _single(c.wrong, c.right).items()} for k, c in plain.items()}
         self._letters: dict[str, tuple[int, int]] = {}
+        self._bytes: dict[str, tuple[int, int]] = {}
 
     def _attested(self, token: str) -> bool:
         """Whether the clean records know every letter. One-byte mistakes and read double bytes always give some
@@ -268,11 +269,27 @@ class Detector:
             got = self._letters[c] = can, change
         return got
 
+    def _byte(self, c: str) -> tuple[int, int]:
+        """The chains, as bits, in which a character is read from a byte that begins a sequence of UTF-8, and from one that goes on with it."""
+        got = self._bytes.get(c)
+        if got is None:
+            lead = follow = 0
+            for k, chain in enumerate(self.chains):
+                if chain.right == "utf-8" and chain.wrong not in MULTI_BYTE:
+                    b = _encoder(chain.wrong).get(c, 0)
+                    lead |= (0xC2 <= b <= 0xF4) << k
+                    follow |= (0x80 <= b <= 0xBF) << k
+            got = self._bytes[c] = lead, follow
+        return got
+
     def _gains(self, token: str) -> list[tuple[int, float, str]]:
-        got = self._tokens.get(token)
+        got = (self._tokens if len(token) <= KEPT_TOKEN else self._long).get(token)
         if got is None:
             base, got, seen = self.model.score(token), [], {}
-            beside = bool(_TWO.search(token))
+            spelled = 0
+            for a, b in zip(token, token[1:], strict=False):
+                if a > "\x7f" and b > "\x7f":
+                    spelled |= self._byte(a)[0] & self._byte(b)[1]
             can, change = -1, 0
             for c in set(token):
                 if c > "\x7f":
@@ -282,9 +299,10 @@ class Detector:
             for k, chain in enumerate(self.chains):
                 if k in self._tables:
                     fixed = token.translate(self._tables[k]) if can >> k & 1 else None
+                elif chain.right == "utf-8" and chain.wrong not in MULTI_BYTE:
+                    fixed = undo(token, chain) if spelled >> k & 1 else None
                 else:
-                    # No sequence of UTF-8 is read as a lone character.
-                    fixed = undo(token, chain) if beside or chain.right != "utf-8" or chain.wrong in MULTI_BYTE else None
+                    fixed = undo(token, chain)
                 if fixed is None:
                     continue
                 if chain.right != "utf-8" and (self._torn(fixed, chain) or not self._attested(fixed)):
@@ -298,30 +316,35 @@ class Detector:
                     self._tokens.clear()
                     self._gaining.clear()
                 self._tokens[token] = got
+            else:
+                self._long[token] = got
         return got
 
-    def _gains_by(self, token: str) -> bool:
+    def _most(self, token: str) -> float:
+        """The largest gain of any chain by a token, or 0."""
         known = self._gaining.get(token)
         if known is None:
-            known = any(gain > 0 for _, gain, _ in self._gains(token))
+            known = max((gain for _, gain, _ in self._gains(token)), default=0.0)
+            known = max(known, 0.0)
             if len(token) <= KEPT_TOKEN:
                 self._gaining[token] = known
         return known
 
-    def _gainers(self, text: str) -> bool:
-        """Whether any chain gains by any token; if none does, nothing can be evidence."""
-        return any(self._gains_by(token) for token in set(TOKEN.findall(text)) if not token.isascii())
+    def _bound(self, text: str) -> float:
+        """No chain has more evidence in a text than this."""
+        return sum([self._most(token) for token in TOKEN.findall(text) if not token.isascii()])
 
     def judge(self, text: str) -> Verdict:
         if text.isascii():
             return Verdict(0.0, None, None, False)
+        self._long.clear()  # of one text only
         best, best_chain = 0.0, None
         out: list[str] = []
         changed = False
         plain = CITED.sub(lambda m: " " * len(m[0]), text)
         lost = "�" in plain
-        if not self._gainers(plain):
-            return Verdict(0.0, None, None, lost)
+        if (bound := self._bound(plain)) <= self.margin:
+            return Verdict(bound, None, None, lost)
         lines = text.split("\n")
         plain_lines = plain.split("\n")
         whole: Counter = Counter()
@@ -329,7 +352,7 @@ class Detector:
         for line in plain_lines:
             sums: Counter = Counter()
             found = []
-            for m in TOKEN.finditer(line) if not line.isascii() and self._gainers(line) else ():
+            for m in TOKEN.finditer(line) if not line.isascii() and self._bound(line) > 0 else ():
                 if m[0].isascii():
                     continue
                 gains = self._gains(m[0])
