@@ -61,6 +61,7 @@ _STRING = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\]
 _NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)\b")
 _NAME = re.compile(r"[A-Za-z_$][\w$]*")
 _DIGITS = re.compile(r"\d+")
+_FIVE = re.compile(r"(?:[^\W_][\W_]*){5}")
 
 
 def extension(path: str) -> str:
@@ -166,6 +167,6 @@ def significant_lines(text: str) -> list[str]:
     out = []
     for line in text.split("\n"):
         line = " ".join(line.split())
-        if len(line) >= 8 and not _COMMENT.match(line) and sum(c.isalnum() for c in line) >= 5:
+        if len(line) >= 8 and _FIVE.search(line) and not _COMMENT.match(line):
             out.append(line)
     return out
