@@ -99,11 +99,23 @@ def _marked(df: DataFrame, columns: Sequence[str], mark: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{mark}{c}" for c in columns})
 
 
-def _ranks(hist: DataFrame, place: Sequence[str], wanted: Column) -> DataFrame:
-    """For every target the digit that contains its rank: the rank within it, and the least and greatest key there."""
-    w = Window.partitionBy(*place).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    h = hist.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*place)))
-    hit = F.filter(wanted, lambda t: (t["rank"] > F.col("upto") - F.col("n")) & (t["rank"] <= F.col("upto")))
+def _ranks(hist: DataFrame, place: Sequence[str], wanted: Column | list[tuple[Column, Column]]) -> DataFrame:
+    """For every target the digit that contains its rank: the rank within it, and the least and greatest key there.
+
+    ``wanted`` is an array of targets (``q, rank, total``) or, where all groups have the same ones, pairs of name and rank.
+    """
+    w = Window.partitionBy(*place).orderBy("digit")
+    upto, total = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    h = hist.withColumn("upto", upto).withColumn("all", total)
+
+    def inside(rank: Column) -> Column:
+        return (rank > F.col("upto") - F.col("n")) & (rank <= F.col("upto"))
+
+    if isinstance(wanted, list):
+        h = h.filter(_any([inside(rank) for _, rank in wanted]))
+        hit = F.array_compact(F.array(*[F.when(inside(rank), F.struct(q.alias("q"), rank.alias("rank"), F.col("all").alias("total"))) for q, rank in wanted]))
+    else:
+        hit = F.filter(wanted, lambda t: inside(t["rank"]))
     h = h.withColumn("t", F.explode(hit))
     prefix = F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit"))
     return h.select(
@@ -111,6 +123,13 @@ def _ranks(hist: DataFrame, place: Sequence[str], wanted: Column) -> DataFrame:
     )
 
 
+def _any(conds: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conds:
+        out = out | c
+    return out
+
+
 def radix_select(keys: DataFrame, groups: Sequence[str], quantiles: dict[str, float] | None = None) -> DataFrame:
     """Exact percentiles per group: the value at rank ``ceil(q * n)`` (nearest rank), one column per quantile.
 
@@ -132,7 +151,6 @@ def radix_levels(keys: DataFrame, levels: Sequence[Sequence[str]], quantiles: di
 
     def histogram(rows: DataFrame, prefix: Column, digit: Column) -> DataFrame:
         h = rows.groupBy(*finest, prefix.alias("prefix"), digit.alias("digit")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        h = cut(h) if len(levels) > 1 else h
         out = None
         for n, level in enumerate(levels):
             part = h if n == 0 else h.groupBy(*level, "prefix", "digit").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -142,7 +160,7 @@ def radix_levels(keys: DataFrame, levels: Sequence[Sequence[str]], quantiles: di
         return out
 
     first = histogram(keys, F.lit(0).cast("bigint"), F.shiftright("key", 64 - DIGIT_BITS))
-    wanted = F.array(*[F.struct(F.lit(q).alias("q"), F.greatest(F.ceil(F.col("all") * F.lit(p)), F.lit(1)).alias("rank"), F.col("all").alias("total")) for q, p in quantiles.items()])
+    wanted = [(F.lit(q), F.greatest(F.ceil(F.col("all") * F.lit(p)), F.lit(1))) for q, p in quantiles.items()]
     targets = known = cut(_ranks(first, place, wanted))
     for done in (DIGIT_BITS, 2 * DIGIT_BITS, 3 * DIGIT_BITS):
         left = targets.filter("lo < hi")
