@@ -53,6 +53,8 @@ MARKS = [
 # ------------------------------------------------------------------------------------------------------
 
 _ARTEFACT = re.compile("|".join(f"(?:{a})" for a in ARTEFACTS), re.M)
+#: One of these stands in every such trace.
+_IN_ARTEFACTS = ["__esModule", "sourceMappingURL", "__webpack_require__", "_lr_action_items", "AddSerializedFile", "_serialized_start", "DESCRIPTOR", "_tabversion", "line ", "parcelRequire"]
 _MARK = re.compile("|".join(f"(?:{m})" for m in MARKS), re.I)
 _COMMENT = re.compile(r"^\s*(?:#(?!\[)|//|/\*|\*|--|;|<!--|%|\"{3}|'{3}|\{-|\(\*)")
 _LEAD = re.compile(r"^[\s#/*;%!<>\-\"'{(]+")
@@ -121,7 +123,7 @@ def reason(path: str, text: str) -> str | None:
     if not body:
         return None
     code = ext not in NOT_CODE
-    if code and _ARTEFACT.search(text):
+    if code and any(x in text for x in _IN_ARTEFACTS) and _ARTEFACT.search(text):
         return "generated"
     joined = "\n".join(body)
     blanks = sum(map(joined.count, (" ", "\t", "\n")))
@@ -147,7 +149,9 @@ def reason(path: str, text: str) -> str | None:
         if sum(map(bare.count, (" ", "\t", "\n"))) < 0.13 * length or short > 0.35:
             return "minified"
     # Lines that are the same but for running numbers.
-    masks = Counter(_DIGITS.sub("0", ln.strip()) for ln in body)
+    if len(body) < 15:
+        return None
+    masks = Counter(map(str.strip, _DIGITS.sub("0", joined).split("\n")))
     mask, n = masks.most_common(1)[0]
     if n >= 15 and n >= 0.6 * len(body) and "0" in mask:
         runs = [[int(d) for d in _DIGITS.findall(ln)] for ln in body if _DIGITS.sub("0", ln.strip()) == mask]
