@@ -43,7 +43,20 @@ def win_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (snk1_json_reports, snk2_sarif, snk3_markdown, win_tumbling, win_sliding, win_sessions)}
+_MEMBER = "coalesce(',\"{0}\":' || to_json({0}), '')"
+_JSON = f"""fj AS (SELECT repo, category, string_agg('{{"file_path":' || to_json(file_path) || ',"line_start":' || line_start || {" || ".join(_MEMBER.format(c) for c in ("rule_id", "severity", "message"))} || '}}', ','
+  ORDER BY file_path, line_start, rule_id NULLS FIRST, severity NULLS FIRST, message NULLS FIRST) AS findings FROM c0 GROUP BY 1, 2),
+ls AS (SELECT s.repo, category, score, weight FROM s SEMI JOIN l USING (repo, snapshot_no)),
+ct AS (SELECT repo, category, score, weight, findings FROM ls FULL JOIN fj USING (repo, category))"""
 ORACLES = {
+    "snk1_json_reports": f"""WITH {_S}, {_NOW}, {_JSON} SELECT repo, 0::BIGINT AS part, '{{"repository":' || to_json(repo) || ',"part":0,"categories":[' || string_agg('{{"category":' || to_json(category) || {_MEMBER.format("score")} || {_MEMBER.format("weight")}
+  || coalesce(',"findings":[' || findings || ']', '') || '}}', ',' ORDER BY category) || ']}}' AS document FROM ct GROUP BY repo""",
+    "snk2_sarif": f"""WITH {_NOW}, ru AS (SELECT repo, rule_id, 'CA' || lpad((row_number() OVER (PARTITION BY repo ORDER BY min(row_id), rule_id))::VARCHAR, 4, '0') AS number FROM c0 GROUP BY 1, 2),
+rl AS (SELECT repo, string_agg('{{"id":"' || number || '","name":' || to_json(rule_id) || '}}', ',' ORDER BY number) AS rules FROM ru GROUP BY 1),
+rs AS (SELECT c0.repo, string_agg('{{"ruleId":"' || number || '","level":"' || CASE severity WHEN 'critical' THEN 'error' WHEN 'high' THEN 'error' WHEN 'low' THEN 'note' WHEN 'info' THEN 'note' ELSE 'warning' END || '","message":{{"text":' || to_json(coalesce(message, c0.rule_id))
+  || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(file_path) || '}},"region":{{"startLine":' || greatest(line_start, 1) || ',"endLine":' || greatest(coalesce(line_end, line_start), 1) || '}}}}}}]}}', ',' ORDER BY row_id) AS results
+  FROM c0 JOIN ru ON c0.repo = ru.repo AND c0.rule_id = ru.rule_id GROUP BY 1)
+SELECT repo, 0::BIGINT AS part, '{{"version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"codestrata","rules":[' || rules || ']}}}},"results":[' || results || ']}}]}}' AS document FROM rs JOIN rl USING (repo)""",
     "snk3_markdown": f"""WITH {_S}, {_LAST} SELECT repo, '# ' || repo || E'\\n\\n| Category | Score | Status |\\n|---|---|---|\\n' || string_agg(printf('| %s | %.1f | %s |', category, score, CASE WHEN score >= 70 THEN 'OK' WHEN score >= 40 THEN 'WARN' ELSE 'FAIL' END), E'\\n' ORDER BY score, category) || E'\\n' AS document
 FROM s SEMI JOIN l USING (repo, snapshot_no) WHERE score IS NOT NULL GROUP BY repo""",
     "win_tumbling": "SELECT ts::DATE AS day, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2",
