@@ -3,8 +3,8 @@
 A floating value is mapped to an integer of the same order: its bits, with all but the sign inverted for
 negative numbers. Selection then works on digits. One pass counts, per group, the values of each leading
 digit; the digit that contains a target rank is known from the running counts, and the next pass counts only
-values that begin with it. Four digits of 16 bits give the exact value; a target whose digit holds one value only is
-known at once, and passes end when all are. Coarser groups need no pass of their own: their counts are sums of those
+values that begin with it. Four digits of 16 bits give the exact value; a target whose digit holds one value only, or
+that is the first or last of it, is known at once, and passes end when all are. Coarser groups need no pass of their own: their counts are sums of those
 of the finest ones. Every pass aggregates on the map side, so what is shuffled per task is at most the number of
 distinct (group, digit) pairs it saw.
 
@@ -118,9 +118,11 @@ def _ranks(hist: DataFrame, place: Sequence[str], wanted: Column | list[tuple[Co
         hit = F.filter(wanted, lambda t: inside(t["rank"]))
     h = h.withColumn("t", F.explode(hit))
     prefix = F.shiftleft("prefix", DIGIT_BITS).bitwiseOR(F.col("digit"))
-    return h.select(
-        *place[:-1], prefix.alias("prefix"), F.col("t.q").alias("q"), F.col("t.total").alias("total"), (F.col("t.rank") - F.col("upto") + F.col("n")).alias("rank"), "lo", "hi"
-    )
+    rank = F.col("t.rank") - F.col("upto") + F.col("n")
+    # The first rank of a digit is its least key, the last one its greatest.
+    first, last = rank == 1, rank == F.col("n")
+    low, high = F.when(~first & last, F.col("hi")).otherwise(F.col("lo")), F.when(first, F.col("lo")).otherwise(F.col("hi"))
+    return h.select(*place[:-1], prefix.alias("prefix"), F.col("t.q").alias("q"), F.col("t.total").alias("total"), rank.alias("rank"), low.alias("lo"), high.alias("hi"))
 
 
 def _any(conds: list[Column]) -> Column:
@@ -151,6 +153,7 @@ def radix_levels(keys: DataFrame, levels: Sequence[Sequence[str]], quantiles: di
 
     def histogram(rows: DataFrame, prefix: Column, digit: Column) -> DataFrame:
         h = rows.groupBy(*finest, prefix.alias("prefix"), digit.alias("digit")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+        h = cut(h) if len(levels) > 1 else h
         out = None
         for n, level in enumerate(levels):
             part = h if n == 0 else h.groupBy(*level, "prefix", "digit").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
