@@ -32,6 +32,7 @@ _UTF8 = re.compile(
 CITED = re.compile(r"(`|``|\"|'|“|„|«|‘)(?P<x>[^\sA-Za-z0-9`\"“”„«»'’]{1,8})(`|``|\"|'|”|“|»|’)")
 _BESIDE = re.compile(r"[A-Za-z][\u0370-\u1fff\u3040-\ud7ff]|[\u0370-\u1fff\u3040-\ud7ff][A-Za-z]")
 _INSIDE = re.compile(r"[A-Za-z][\u0370-\u1fff\u3040-\ud7ff]+[A-Za-z]")
+_WITHIN = frozenset("'’‘ʼ-‐‑–·")
 _C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
 
 
@@ -251,6 +252,14 @@ class Detector:
         text; one of letters never seen is no better than what stands there."""
         return all(ord(c) < 128 or self.model.uni.get(c, 0) > 0 for c in token)
 
+    @staticmethod
+    def _holed(token: str, fixed: str) -> bool:
+        """Whether a letter within a word would become a mark; only apostrophes and hyphens stand there."""
+        return any(
+            a != b and a.isalpha() and not b.isalpha() and b not in _WITHIN and token[i - 1 : i].isalpha() and token[i + 1 : i + 2].isalpha()
+            for i, (a, b) in enumerate(zip(token, fixed, strict=True))
+        )
+
     @staticmethod
     def _torn(token: str, chain: Chain) -> bool:
         """Whether a word would change its script in the middle, which no mistake put right leaves behind."""
@@ -286,6 +295,7 @@ class Detector:
         got = (self._tokens if len(token) <= KEPT_TOKEN else self._long).get(token)
         if got is None:
             base, got, seen = self.model.score(token), [], {}
+            known = all(c <= "\x7f" or c.isalpha() for c in token) and self._attested(token)
             spelled = 0
             for a, b in zip(token, token[1:], strict=False):
                 if a > "\x7f" and b > "\x7f":
@@ -305,6 +315,11 @@ class Detector:
                     fixed = undo(token, chain)
                 if fixed is None:
                     continue
+                if k in self._tables and self._holed(token, fixed):
+                    continue
+                # Words of known letters may spell UTF-8 by chance, where an encoding has letters for its bytes.
+                if chain.right == "utf-8" and known and not self._attested(fixed):
+                    continue
                 if chain.right != "utf-8" and (self._torn(fixed, chain) or not self._attested(fixed)):
                     continue
                 gain = seen.get(fixed)
