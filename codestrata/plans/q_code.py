@@ -66,7 +66,12 @@ def ast_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ast_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AST13, AST14: test functions per repository with assertion calls, parameters, fixtures, and tests without assertions or with bare handlers."""
-    fn = trees.functions(_files(spark, sf_dir)).filter(is_test_file("path"))
+    return test_structure(_files(spark, sf_dir))
+
+
+def test_structure(f: DataFrame) -> DataFrame:
+    """AST13, AST14 for any files."""
+    fn = trees.functions(f).filter(is_test_file("path"))
     test = F.col("name").startswith("test")
     return fn.groupBy("repo").agg(
         F.count_if(test).alias("tests"), F.sum(F.when(test, F.col("assert_calls")).otherwise(0)).alias("assert_calls"), F.count_if(test & (F.col("assert_calls") == 0)).alias("without_assertions"),
@@ -102,7 +107,11 @@ def ast_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def agg11_pattern_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AST16, AGG11: patterns that a repository shows anywhere, as flags."""
-    f = _files(spark, sf_dir)
+    return pattern_flags(_files(spark, sf_dir))
+
+
+def pattern_flags(f: DataFrame) -> DataFrame:
+    """AST16, AGG11 for any files."""
     c = _class_flags(trees.classes(f)).groupBy("repo").agg(F.bool_or("is_repository").alias("repository"), F.bool_or("is_factory").alias("factory"), F.bool_or("is_singleton").alias("singleton"))
     fn = trees.functions(f).groupBy("repo").agg(F.bool_or("injected").alias("injection"))
     p = f.filter(extension("path") == "py").groupBy("repo").agg(F.bool_or(F.lower("path").rlike("controller|view")).alias("mvc"), F.bool_or(F.lower("path").rlike(LAYER_WORDS)).alias("clean"))

@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata import config
+from codestrata.functions.hashes import hmac_sha256, pads
 from codestrata.functions.paths import basename, module_name, module_prefixes
 from codestrata.operators import cache
+from codestrata.operators.builds import cyclonedx_documents
+from codestrata.operators.dependencies import all_dependencies
 from codestrata.operators.graph import cycles, first_cycles, strong_components
 from codestrata.operators.scoring import overall
 from codestrata.plans.q_findings import _DIFF, _LAST, _NOW, _OVERALL, _S, _findings, _scores, jn1_category_diff, last_snapshots
 from codestrata.plans.q_history import _BUSY, _busy
+from codestrata.plans.q_manifests import ORACLES as _MANIFESTS
 from codestrata.plans.samples import X, files_and_samples, quote, values
 from codestrata.sources import reports
 from codestrata.session import cut, table
@@ -169,6 +173,26 @@ def snk9_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.comparison(jn1_category_diff(spark, sf_dir), "json")
 
 
+#: Key of the example's signatures.
+HOOK_KEY = "winter garden"
+
+
+def snk11_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK11, hash family: the payload that is sent for every repository's last snapshot, with its keyed hash; sending is a service."""
+    o = overall(_scores(spark, sf_dir, last_snapshots(spark, sf_dir)), ["repo"])
+    payload = F.to_json(F.struct(F.lit("analysis.completed").alias("event"), "repo", "overall_score", "risk_level"))
+    return o.select("repo", payload.alias("payload")).withColumn("signature", F.concat(F.lit("sha256="), hmac_sha256(HOOK_KEY, F.col("payload"))))
+
+
+def snk12_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK12: a statement for every inventory document with its digest, as it would be signed; signing is a service."""
+    docs = cyclonedx_documents(all_dependencies(files_and_samples(spark, sf_dir)), reports.DOCUMENT_FINDINGS)
+    digest = F.struct(F.sha2("document", 256).alias("sha256"))
+    subject = F.array(F.struct(F.concat_ws("/", "repo", F.col("part").cast("string")).alias("name"), digest.alias("digest")))
+    statement = F.struct(F.lit("https://in-toto.io/Statement/v1").alias("_type"), subject.alias("subject"), F.lit("https://cyclonedx.org/bom").alias("predicateType"))
+    return docs.select("repo", "part", F.to_json(statement).alias("statement"))
+
+
 def snk13_benchmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK13, MISC14: benchmark results written to files and read back, counted by repository."""
     from codestrata.session import shared_folder
@@ -185,7 +209,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         flt7_license_files, flt8_readme, jn9_internal_imports, set7_external, top9_imports, jn20_related_modules, gr2_components, top10_cycles, win6_cache, misc5_cache_stats, misc5_state_hashes,
-        misc4_settings, snk4_html, top4_first_findings, snk5_console, snk9_console, snk9_markdown, snk9_json, snk13_benchmark_rows,
+        misc4_settings, snk4_html, top4_first_findings, snk5_console, snk9_console, snk9_markdown, snk9_json, snk11_notifications, snk12_statements,
+        snk13_benchmark_rows,
     )
 }
 
@@ -237,5 +262,8 @@ FROM ch GROUP BY 1, 2""",
 FROM ch GROUP BY 1, 2""",
     "snk9_json": f"""{_DIFF}, {_CHG} SELECT repo, snapshot_no, '{{"repo":' || to_json(repo) || ',"snapshot_no":' || snapshot_no || ',"categories":[' || string_agg('{{"category":' || to_json(category) || ',"score_before":' || to_json(before) || ',"score_after":' || to_json(after) || ',"delta":' || to_json(delta) || ',"change_type":' || to_json(change) || '}}', ',' ORDER BY delta, category) || ']}}' AS document
 FROM ch GROUP BY 1, 2""",
+    "snk11_notifications": f"""WITH {_S}, {_OVERALL}, {_LAST}, p AS (SELECT repo, '{{"event":"analysis.completed","repo":' || to_json(repo) || ',"overall_score":' || to_json(overall_score) || ',"risk_level":' || to_json(risk_level) || '}}' AS payload FROM r SEMI JOIN l USING (repo, snapshot_no))
+SELECT repo, payload, 'sha256=' || sha256(unhex('{pads(HOOK_KEY)[1]}') || unhex(sha256(unhex('{pads(HOOK_KEY)[0]}') || encode(payload)))) AS signature FROM p""",
+    "snk12_statements": f"""WITH b AS ({_MANIFESTS["snk7_cyclonedx"]}) SELECT repo, part, '{{"_type":"https://in-toto.io/Statement/v1","subject":[{{"name":' || to_json(repo || '/' || part) || ',"digest":{{"sha256":"' || sha256(document) || '"}}}}],"predicateType":"https://cyclonedx.org/bom"}}' AS statement FROM b""",
     "snk13_benchmark_rows": "SELECT repo_name, count(*) AS rows, count(DISTINCT run_id) AS runs, max(avg_score) AS best FROM benchmark_results WHERE repo_name IS NOT NULL GROUP BY 1",
 }

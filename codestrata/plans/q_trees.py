@@ -111,6 +111,16 @@ def ast11_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_code._class_flags(trees.classes(_files(spark)).filter("file_id = 1"))
 
 
+def ast13_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AST13, AST14: tests with assertion calls, parameters and fixtures, and those without assertions."""
+    return q_code.test_structure(_files(spark))
+
+
+def agg11_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG11, AST16: patterns that a repository shows anywhere."""
+    return q_code.pattern_flags(_files(spark))
+
+
 def ast15_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AST15: imports with the names they bring."""
     n = trees.nodes(_files(spark)).filter(F.col("kind").isin("Import", "ImportFrom"))
@@ -138,7 +148,7 @@ def ext3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_code.counted_rules(_files(spark).filter("content IS NOT NULL AND path LIKE '%.py'"))
 
 
-QUERIES = {f.__name__: f for f in (ast1_nodes, ast2_risks, ast7_measures, ast10_functions, ast11_classes, ast15_imports, ast18_signatures, ast19_identifiers, pat14_quality, ext3_rules)}
+QUERIES = {f.__name__: f for f in (ast1_nodes, ast2_risks, ast7_measures, ast10_functions, ast11_classes, ast13_tests, agg11_flags, ast15_imports, ast18_signatures, ast19_identifiers, pat14_quality, ext3_rules)}
 
 _SHOP_KINDS = [("Module", 1), ("Import", 1), ("ImportFrom", 1), ("ClassDef", 2), ("FunctionDef", 7), ("If", 1), ("For", 1), ("Try", 1), ("ListComp", 1), ("Return", 4)]
 _NODES = [*((1, k, n) for k, n in _SHOP_KINDS), *((3, k, n) for k, n in _SHOP_KINDS), (2, "Module", 1), (2, "Import", 1), (2, "FunctionDef", 3), (2, "Try", 1), (2, "Return", 1), (5, "Module", 1)]
@@ -162,4 +172,6 @@ AS t(file_id, name, owner, line, length, params, returns, complexity, has_doc, t
 AS t(repo, file_id, name, methods, public, private, attributes, has_doc, is_repository, is_factory, is_singleton, is_god_class)""",
     "ext3_rules": """SELECT repo, rule_id, severity, n::BIGINT AS matches FROM (VALUES ('a', 'eval-usage', 'high', 1), ('a', 'hardcoded-password', 'high', 2), ('a', 'high-complexity', 'medium', 1), ('a', 'no-bare-except', 'medium', 1),
 ('a', 'no-print-statements', 'low', 1), ('a', 'todo-comments', 'info', 1), ('b', 'high-complexity', 'medium', 1), ('b', 'no-bare-except', 'medium', 1), ('b', 'no-print-statements', 'low', 1)) AS t(repo, rule_id, severity, n)""",
+    "ast13_tests": "SELECT * FROM (VALUES ('a', 2::BIGINT, 2::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT, 0::BIGINT)) AS t(repo, tests, assert_calls, without_assertions, parametrized, fixtures, bare_excepts)",
+    "agg11_flags": "SELECT * FROM (VALUES ('a', true, true, true, true, false, false), ('b', true, true, true, true, false, false)) AS t(repo, repository, factory, singleton, injection, mvc, clean)",
 }

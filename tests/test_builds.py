@@ -123,3 +123,15 @@ def test_docstring_points(spark):
 def test_pinned(spark):
     df = spark.createDataFrame([("r", "requirements.txt", "a==1\nb>=2\nc"), ("r", "requirements.txt", None)], "repo string, path string, content string")
     assert builds.pinned(deps.all_dependencies(df), ["repo"]).first().asDict() == {"repo": "r", "dependencies": 3, "pinned": 1}
+
+
+@pytest.mark.parametrize("key", ["", "k", "long " * 40, "é"])
+def test_keyed_hashes(spark, key):
+    import hashlib
+    import hmac
+
+    from codestrata.functions.hashes import hmac_sha256
+
+    df = spark.createDataFrame([("",), ("text é",), (None,)], "m string")
+    got = [r.h for r in df.select(hmac_sha256(key, F.col("m")).alias("h")).collect()]
+    assert got == [hmac.new(key.encode(), m.encode(), hashlib.sha256).hexdigest() for m in ("", "text é")] + [None]
