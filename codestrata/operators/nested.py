@@ -81,33 +81,29 @@ def _kind(value: object) -> str:
     return "scalar"
 
 
-def _edges(root: object) -> Counter:
-    """(place, member, kind) of one record; a place is a tuple of member names and '[]'."""
-    out: Counter = Counter()
+def _edges(root: object, types: bool) -> set[tuple[tuple[str, ...], str, str]]:
+    """(place, member, kind) of one record, with the types of plain values if wanted; a place is a tuple of member names and '[]'."""
+    out: set[tuple[tuple[str, ...], str, str]] = set()
     todo: list[tuple[tuple[str, ...], object]] = [((), root)]
     while todo:
         place, value = todo.pop()
         if len(place) > MAX_DEPTH:
             continue
-        if isinstance(value, dict):
-            for name, member in value.items():
-                member = _embedded(member)
-                out[(place, name, _kind(member))] += 1
-                if (kind := _type(member)) is not None:
-                    out[(place, name, kind)] += 1
-                if isinstance(member, dict | list):
+        named = value.items() if isinstance(value, dict) else (("[]", item) for item in value)
+        for name, member in named:
+            member = _embedded(member)
+            kind = _kind(member)
+            out.add((place, name, kind))
+            if kind in ("object", "list"):
+                if member:
                     todo.append(((*place, name), member))
-        elif isinstance(value, list):
-            for item in value:
-                item = _embedded(item)
-                out[(place, "[]", _kind(item))] += 1
-                if isinstance(item, dict | list):
-                    todo.append(((*place, "[]"), item))
+            elif types and name != "[]" and (plain := _type(member)) is not None:
+                out.add((place, name, plain))
     return out
 
 
-def schema_graph(df: DataFrame, payload: str) -> DataFrame:
-    """``place, member, kind, records, most`` over all readable records (one row per edge)."""
+def schema_graph(df: DataFrame, payload: str, types: bool = False) -> DataFrame:
+    """``place, member, kind, records`` over all readable records (one row per edge), with edges for the types of plain values if wanted."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -115,7 +111,7 @@ def schema_graph(df: DataFrame, payload: str) -> DataFrame:
             for text in pdf[payload]:
                 root = parse(text)
                 if root is not None:
-                    records.update(_edges(root).keys())
+                    records.update(_edges(root, types))
             if records:
                 yield pd.DataFrame(
                     [("/".join(p.replace("/", "~1") for p in place), member, kind, n) for (place, member, kind), n in records.items()],
@@ -316,7 +312,7 @@ def flatten(
         columns = ["_key", "element", "node", "parent", "pos", "name", "label", "attrs", "up"]
         for pdf in batches:
             for start in range(0, len(pdf), 200):
-                part, out = pdf.iloc[start : start + 200], []
+                part, out, last, chain = pdf.iloc[start : start + 200], [], None, []
                 for k, text in zip(part[key], part[payload], strict=True):
                     root = parse(text)
                     if root is None:
@@ -324,7 +320,8 @@ def flatten(
                     for element, node, parent, pos, name, label, attrs, up in rows_of(root, plan, names):
                         if wanted is not None and element not in wanted:
                             continue
-                        chain = [dict(zip(("element", "node", "pos", "label"), u, strict=True)) for u in up]
+                        if up is not last:  # items of one list share their ancestors
+                            last, chain = up, [dict(zip(("element", "node", "pos", "label"), u, strict=True)) for u in up]
                         out.append((k, element, node, parent, pos, name, label, json.dumps(attrs, ensure_ascii=False) if attributes else None, chain))
                 if out:
                     yield pd.DataFrame(out, columns=columns)

@@ -51,6 +51,11 @@ def condition(text: str | None) -> Column:
     return out
 
 
+def node_kinds(rules: Sequence[dict]) -> set[str]:
+    """Kinds of syntax nodes that the rules look at."""
+    return {r["ast_pattern"] for r in rules if r["type"] == "ast_pattern"}
+
+
 def apply(files: DataFrame, rules: Sequence[dict], metrics: DataFrame | None = None, tags: Sequence[str] | None = None, parsed: DataFrame | None = None) -> DataFrame:
     """``file_id, rule_id, severity, line`` of every match.
 
@@ -65,7 +70,7 @@ def apply(files: DataFrame, rules: Sequence[dict], metrics: DataFrame | None = N
     trees = [r for r in active if r["type"] == "ast_pattern"]
     if trees:
         hits = F.array(*[F.when((F.col("kind") == r["ast_pattern"]) & F.coalesce(condition(r.get("ast_condition")), F.lit(False)), F.struct(F.lit(r["id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"))) for r in trees])
-        parts.append((parsed if parsed is not None else nodes(files)).select("file_id", "line", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("file_id", "h.rule_id", "h.severity", "line"))
+        parts.append((parsed if parsed is not None else nodes(files, kinds=node_kinds(active))).select("file_id", "line", F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).select("file_id", "h.rule_id", "h.severity", "line"))
     limits = [r for r in active if r["type"] == "metric_threshold"]
     if limits and metrics is not None:
         hits = F.array(

@@ -11,7 +11,7 @@ import ast
 import hashlib
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,7 @@ MODULES = (
 )
 _NESTING = (ast.If, ast.While, ast.For, ast.Try, ast.With, ast.FunctionDef, ast.ClassDef)
 _DECISIONS = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.Assert, ast.comprehension, ast.match_case)
+_HARD = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Lambda)
 _FUNCS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -43,63 +44,86 @@ def _parse(text: str | None) -> ast.Module | None:
         return None
 
 
-def complexity(tree: ast.AST) -> int:
-    """Cyclomatic number: decisions plus one."""
-    n = 1
-    for node in ast.walk(tree):
-        if isinstance(node, ast.BoolOp):
-            n += len(node.values) - 1
-        elif isinstance(node, ast.comprehension):
-            n += 1 + len(node.ifs)
-        elif isinstance(node, _DECISIONS):
-            n += 1
-    return n
-
-
-def cognitive(tree: ast.AST) -> int:
-    """Weighted count of the constructs that make code hard to follow."""
-    n = 0
-    for node in ast.walk(tree):
-        if isinstance(node, ast.If | ast.While | ast.For | ast.ExceptHandler | ast.ListComp | ast.SetComp | ast.DictComp | ast.GeneratorExp | ast.Lambda):
-            n += 1
-        elif isinstance(node, ast.BoolOp):
-            n += len(node.values) - 1
-        elif isinstance(node, ast.Try):
-            n += len(node.handlers)
-    return n
-
-
-def nesting(tree: ast.AST) -> int:
-    deepest, todo = 0, [(tree, 0)]
-    while todo:
-        node, depth = todo.pop()
-        deepest = max(deepest, depth)
-        below = depth + isinstance(node, _NESTING)
-        todo += [(child, below) for child in ast.iter_child_nodes(node)]
-    return deepest
-
-
-def halstead(tree: ast.AST) -> tuple[float, float, float, float]:
-    """Volume, difficulty, effort and expected faults."""
-    operators: Counter = Counter()
-    operands: Counter = Counter()
-    for node in ast.walk(tree):
+def _decisions(node: ast.AST) -> int:
+    """What a node adds to the cyclomatic number of the code around it."""
+    if isinstance(node, ast.BoolOp):
+        return len(node.values) - 1
+    if isinstance(node, ast.comprehension):
+        return 1 + len(node.ifs)
+    return int(isinstance(node, _DECISIONS))
+
+
+def _hardness(node: ast.AST) -> int:
+    """What a node adds to the weighted count of constructs that make code hard to follow."""
+    if isinstance(node, ast.BoolOp):
+        return len(node.values) - 1
+    if isinstance(node, ast.Try):
+        return len(node.handlers)
+    return int(isinstance(node, _HARD))
+
+
+class _Function:
+    """Counts over the body of a function, with those of the functions in it."""
+
+    __slots__ = ("assert_calls", "bare_excepts", "complexity", "node", "owner", "returns")
+
+    def __init__(self, node: ast.AST, owner: str | None):
+        self.node, self.owner, self.complexity, self.returns, self.assert_calls, self.bare_excepts = node, owner, 1, 0, 0, 0
+
+
+class _Walk:
+    """All counts of a file in one walk over its tree."""
+
+    def __init__(self, tree: ast.Module):
+        self.functions: list[_Function] = []
+        self.complexity, self.cognitive, self.nesting, self.statements = 1, 0, 0, 0
+        self.operators: Counter = Counter()
+        self.operands: Counter = Counter()
+        todo: list[tuple[ast.AST, ast.AST | None, int, tuple[_Function, ...]]] = [(tree, None, 0, ())]
+        while todo:
+            node, parent, depth, inside = todo.pop()
+            if isinstance(node, _FUNCS):
+                here = _Function(node, parent.name if isinstance(parent, ast.ClassDef) else None)
+                self.functions.append(here)
+                inside = (*inside, here)
+            self._count(node, inside)
+            self.nesting = max(self.nesting, depth)
+            below = depth + isinstance(node, _NESTING)
+            todo += [(child, node, below, inside) for child in ast.iter_child_nodes(node)]
+
+    def _count(self, node: ast.AST, inside: tuple[_Function, ...]) -> None:
+        n = _decisions(node)
+        self.complexity += n
+        self.cognitive += _hardness(node)
+        self.statements += isinstance(node, ast.stmt)
+        returns = isinstance(node, ast.Return)
+        asserts = isinstance(node, ast.Call) and _last_name(node.func).startswith("assert")
+        bare = isinstance(node, ast.ExceptHandler) and node.type is None
+        if n or returns or asserts or bare:
+            for f in inside:
+                f.complexity += n
+                f.returns += returns
+                f.assert_calls += asserts
+                f.bare_excepts += bare
         if isinstance(node, ast.BinOp | ast.UnaryOp | ast.BoolOp | ast.AugAssign):
-            operators[type(node.op).__name__] += 1
+            self.operators[type(node.op).__name__] += 1
         elif isinstance(node, ast.Compare):
-            operators.update(type(op).__name__ for op in node.ops)
+            self.operators.update(type(op).__name__ for op in node.ops)
         elif isinstance(node, ast.Name):
-            operands[node.id] += 1
+            self.operands[node.id] += 1
         elif isinstance(node, ast.Constant):
-            operands[repr(node.value)] += 1
+            self.operands[repr(node.value)] += 1
         elif isinstance(node, ast.Attribute):
-            operands[node.attr] += 1
-    n1, n2, m1, m2 = len(operators), len(operands), sum(operators.values()), sum(operands.values())
-    if not n2 or n1 + n2 < 2:
-        return 0.0, 0.0, 0.0, 0.0
-    volume = (m1 + m2) * math.log2(n1 + n2)
-    difficulty = n1 / 2 * m2 / n2
-    return volume, difficulty, volume * difficulty, volume / 3000
+            self.operands[node.attr] += 1
+
+    def halstead(self) -> tuple[float, float, float, float]:
+        """Volume, difficulty, effort and expected faults."""
+        n1, n2, m1, m2 = len(self.operators), len(self.operands), sum(self.operators.values()), sum(self.operands.values())
+        if not n2 or n1 + n2 < 2:
+            return 0.0, 0.0, 0.0, 0.0
+        volume = (m1 + m2) * math.log2(n1 + n2)
+        difficulty = n1 / 2 * m2 / n2
+        return volume, difficulty, volume * difficulty, volume / 3000
 
 
 def _last_name(func: ast.AST) -> str:
@@ -112,22 +136,17 @@ def _doc(node: ast.AST) -> str | None:
 
 
 def _functions(file_id: int, tree: ast.Module) -> Iterator[tuple]:
-    owners = {id(child): node.name for node in ast.walk(tree) if isinstance(node, ast.ClassDef) for child in node.body}
-    for node in ast.walk(tree):
-        if isinstance(node, _FUNCS):
-            a = node.args
-            args = [*a.posonlyargs, *a.args, *a.kwonlyargs, *([a.vararg] if a.vararg else []), *([a.kwarg] if a.kwarg else [])]
-            own = [x for x in args if x.arg not in ("self", "cls")]
-            typed = node.returns is not None or any(x.annotation is not None for x in own)
-            doc = _doc(node)
-            calls = [_last_name(x.func) for x in ast.walk(node) if isinstance(x, ast.Call)]
-            injected = node.name == "__init__" and any(x.annotation is not None for x in a.args)
-            bare = sum(isinstance(x, ast.ExceptHandler) and x.type is None for x in ast.walk(node))
-            yield (
-                file_id, node.name, owners.get(id(node)), node.lineno, (node.end_lineno or node.lineno) - node.lineno + 1, len(own),
-                sum(isinstance(x, ast.Return) for x in ast.walk(node)), complexity(node), doc is not None, typed, doc, isinstance(node, ast.AsyncFunctionDef),
-                sum(c.startswith("assert") for c in calls), injected, ",".join(ast.unparse(d) for d in node.decorator_list), bare,
-            )
+    for f in _Walk(tree).functions:
+        node, a = f.node, f.node.args
+        args = [*a.posonlyargs, *a.args, *a.kwonlyargs, *([a.vararg] if a.vararg else []), *([a.kwarg] if a.kwarg else [])]
+        own = [x for x in args if x.arg not in ("self", "cls")]
+        typed = node.returns is not None or any(x.annotation is not None for x in own)
+        doc = _doc(node)
+        injected = node.name == "__init__" and any(x.annotation is not None for x in a.args)
+        yield (
+            file_id, node.name, f.owner, node.lineno, (node.end_lineno or node.lineno) - node.lineno + 1, len(own), f.returns, f.complexity, doc is not None, typed, doc,
+            isinstance(node, ast.AsyncFunctionDef), f.assert_calls, injected, ",".join(ast.unparse(d) for d in node.decorator_list), f.bare_excepts,
+        )
 
 
 def _classes(file_id: int, tree: ast.Module) -> Iterator[tuple]:
@@ -143,15 +162,16 @@ def _classes(file_id: int, tree: ast.Module) -> Iterator[tuple]:
 
 
 def _module(file_id: int, tree: ast.Module, text: str) -> Iterator[tuple]:
-    each = [complexity(n) for n in ast.walk(tree) if isinstance(n, _FUNCS)]
+    walk = _Walk(tree)
+    each = [f.complexity for f in walk.functions]
     lines = text.split("\n")
     blank = sum(not ln.strip() for ln in lines)
     comments = sum(ln.lstrip().startswith("#") for ln in lines)
-    lloc = sum(isinstance(n, ast.stmt) for n in ast.walk(tree))
-    volume, difficulty, effort, bugs = halstead(tree)
-    mi = 171 - 5.2 * math.log(max(volume, 1)) - 0.23 * complexity(tree) - 16.2 * math.log(max(lloc, 1)) + 50 * math.sin(math.sqrt(2.4 * math.radians(100 * comments / max(len(lines), 1))))
+    lloc = walk.statements
+    volume, difficulty, effort, bugs = walk.halstead()
+    mi = 171 - 5.2 * math.log(max(volume, 1)) - 0.23 * walk.complexity - 16.2 * math.log(max(lloc, 1)) + 50 * math.sin(math.sqrt(2.4 * math.radians(100 * comments / max(len(lines), 1))))
     yield (
-        file_id, len(each), sum(each) / len(each) if each else 0.0, max(each, default=0), cognitive(tree), nesting(tree), len(lines), lloc, comments, blank,
+        file_id, len(each), sum(each) / len(each) if each else 0.0, max(each, default=0), walk.cognitive, walk.nesting, len(lines), lloc, comments, blank,
         volume, difficulty, effort, bugs, max(0.0, min(100.0, mi * 100 / 171)),
     )
 
@@ -199,16 +219,27 @@ def _attrs(node: ast.AST) -> dict[str, str]:
     return out
 
 
-def _nodes(file_id: int, tree: ast.Module) -> Iterator[tuple]:
+def _nodes(file_id: int, tree: ast.Module, kinds: frozenset[str] | None = None) -> Iterator[tuple]:
     count, todo = 0, [(tree, -1, 0)]
     while todo:
         node, parent, depth = todo.pop()
         here = count
         count += 1
-        yield file_id, here, parent, type(node).__name__, _name_of(node), getattr(node, "lineno", None), getattr(node, "end_lineno", None), depth, _attrs(node)
+        kind = type(node).__name__
+        if kinds is None or kind in kinds:
+            yield file_id, here, parent, kind, _name_of(node), getattr(node, "lineno", None), getattr(node, "end_lineno", None), depth, _attrs(node)
         todo += [(child, here, depth + 1) for child in reversed(list(ast.iter_child_nodes(node)))]
 
 
+def _kinds(tree: ast.Module) -> Iterator[str]:
+    """Kinds of all nodes in document order."""
+    todo: list[ast.AST] = [tree]
+    while todo:
+        node = todo.pop()
+        yield type(node).__name__
+        todo += reversed(list(ast.iter_child_nodes(node)))
+
+
 #: Node kind of the row that carries a file's measures in ``nodes(measures=True)``.
 MEASURES = "<measures>"
 
@@ -240,16 +271,17 @@ def _table(files: DataFrame, schema: str, rows) -> DataFrame:
     return some.mapInPandas(walk, ", ".join([schema, *(f"{c} string" for c in keep)]))
 
 
-def nodes(files: DataFrame, measures: bool = False) -> DataFrame:
-    """AST1, D3: every node with its parent, in document order.
+def nodes(files: DataFrame, measures: bool = False, kinds: Iterable[str] | None = None) -> DataFrame:
+    """AST1, D3: every node with its parent, in document order; with ``kinds`` only nodes of those, under the same numbers.
 
     With ``measures`` every file has one more row, of kind ``MEASURES``, whose attributes are its measures, so that one
     parse serves both.
     """
     names = [c.split()[0] for c in MODULES.split(", ")][1:]
+    wanted = None if kinds is None else frozenset(kinds)
 
     def rows(i: int, tree: ast.Module, text: str) -> Iterator[tuple]:
-        yield from _nodes(i, tree)
+        yield from _nodes(i, tree, wanted)
         if measures:
             values = next(_module(i, tree, text))[1:]
             yield i, -1, None, MEASURES, None, None, None, 0, {n: str(v) for n, v in zip(names, values, strict=True)}
@@ -282,7 +314,7 @@ def signatures(files: DataFrame) -> DataFrame:
     """AST18: ``file_id, sig, nodes``: a hash of a file's node kinds in document order, made where the file is parsed."""
 
     def rows(i: int, tree: ast.Module, text: str) -> Iterator[tuple]:
-        kinds = [n[3] for n in _nodes(i, tree)]
+        kinds = list(_kinds(tree))
         yield i, hashlib.sha256("|".join(kinds).encode()).hexdigest(), len(kinds)
 
     return _table(files, "file_id bigint, sig string, nodes int", rows)

@@ -34,7 +34,7 @@ def flat_table(df: DataFrame, element: str) -> DataFrame:
     schema graph inlines into the element, with a ``_`` behind names that are taken; members too rare to be columns
     stand in ``rest`` as JSON.
     """
-    graph = cut(schema_graph(df, "payload"))
+    graph = cut(schema_graph(df, "payload", types=True))
     plan = collect_plan(graph, ELEMENTS)
     columns = inline_columns([(r[0], r[1], r[2], r[3]) for r in graph.collect()], plan, element)  # at most MAX_EDGES edges
     rows = nodes(df, plan, [element])

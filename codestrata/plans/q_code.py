@@ -121,14 +121,14 @@ def pattern_flags(f: DataFrame) -> DataFrame:
 
 def ast_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AST15, GR1: imports of Python files as edges from repository to module, with their degrees."""
-    n = trees.nodes(_files(spark, sf_dir)).filter(F.col("kind").isin("Import", "ImportFrom"))
+    n = trees.nodes(_files(spark, sf_dir), kinds=["Import", "ImportFrom"])
     e = n.select(F.col("repo").alias("src"), F.explode(F.split("name", ",")).alias("dst")).filter("dst <> ''")
     return degrees(e).filter("fan_in > 0").select("node", "fan_in")
 
 
 def ast_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AST19: names of functions, classes and variables that a repository sets more than three times, the first ten (a limit of the report)."""
-    n = trees.nodes(_files(spark, sf_dir))
+    n = trees.nodes(_files(spark, sf_dir), kinds=["FunctionDef", "ClassDef", "Name"])
     named = n.filter(F.col("kind").isin("FunctionDef", "ClassDef") | (F.col("kind") == "Name") & (F.element_at("attrs", "stored") == "True"))
     counts = named.groupBy("repo", "name").agg(F.count("*").alias("n")).filter("n > 3")
     place = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "name"))
@@ -141,6 +141,9 @@ def ast_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.filter("nodes > 5").groupBy("sig").agg(F.count("*").alias("files"), F.min("file_id").alias("first_file_id")).filter("files > 1")
 
 
+RISKY_KINDS = ["Call", "ExceptHandler", "Assign", "BinOp"]
+
+
 def risky_nodes(n: DataFrame) -> DataFrame:
     """AST2-AST6, AST14: ``file_id, line, rule_id`` of queries put together, risky calls, bare handlers and literal credentials."""
     call = F.col("kind") == "Call"
@@ -158,7 +161,7 @@ def risky_nodes(n: DataFrame) -> DataFrame:
 
 def ast_security(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AST1-AST6, AST14: risky syntax nodes of all files."""
-    return risky_nodes(trees.nodes(_files(spark, sf_dir)))
+    return risky_nodes(trees.nodes(_files(spark, sf_dir), kinds=RISKY_KINDS))
 
 
 # ---- Fixed values: the rule set that ships ----
@@ -184,7 +187,7 @@ def ext2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def counted_rules(f: DataFrame) -> DataFrame:
     """The shipped rules over files; they are parsed once for conditions and measures."""
-    parsed = cut(trees.nodes(f, measures=True))
+    parsed = cut(trees.nodes(f, measures=True, kinds=user_rules.node_kinds(RULES)))
     m = trees.measures_of(parsed, ["loc", "max_complexity"])
     found = user_rules.apply(f, RULES, m, parsed=parsed.filter(F.col("kind") != trees.MEASURES))
     return found.join(f.select("file_id", "repo"), "file_id").groupBy("repo", "rule_id", "severity").agg(F.count("*").alias("matches"))
