@@ -133,17 +133,18 @@ def reason(path: str, text: str) -> str | None:
         return "minified" if size > 400 and long_share > 0.9 and blanks < 0.12 * size else None
     if not code:
         return None
-    strings = [m[0] for m in _STRING.finditer(joined)]
+    strings = _STRING.findall(joined)
     bare = _STRING.sub('""', joined)
-    numbers = [m[0] for m in _NUMBER.finditer(bare)]
+    numbers = _NUMBER.findall(bare)
     literal = sum(map(len, strings)) + sum(map(len, numbers))
-    names = _NAME.findall(_NUMBER.sub("0", bare))
-    if literal >= 400 and literal >= 0.62 * dense and len(names) <= 0.5 * (len(strings) + len(numbers)) + 15 and _flat(body):
-        return "data"
+    full = literal >= 400 and literal >= 0.62 * dense
     # Long lines count without their literals: one long text in a line of its own is no packed code.
     plain = bare.split("\n")
     length = sum(map(len, plain))
     long_share = sum(len(ln) for ln in plain if len(ln) > 120) / max(length, 1)
+    names = _NAME.findall(_NUMBER.sub("0", bare)) if full or long_share > 0.6 else []
+    if full and len(names) <= 0.5 * (len(strings) + len(numbers)) + 15 and _flat(body):
+        return "data"
     if long_share > 0.6 and names:
         short = sum(len(n) <= 2 for n in names) / len(names)
         if sum(map(bare.count, (" ", "\t", "\n"))) < 0.13 * length or short > 0.35:
