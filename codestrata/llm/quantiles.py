@@ -72,15 +72,14 @@ def run_values(runs: DataFrame) -> DataFrame:
     rows without run_id are runs of their own. Null and empty arrays give nothing.
     """
     base = runs.select("run_id", "repo_name", F.to_date("started_at").alias("day"), "times_ms", "loaded_at")
+    # Only runs that came more than once are sorted out by their arrival; the others stay where they are.
+    twice = cut(base.filter("run_id IS NOT NULL").groupBy("run_id").agg(F.count("*").alias("n")).filter("n > 1").select("run_id"))
+    twice = broadcast_if_small(twice)
     latest = F.struct(F.col("loaded_at"), F.coalesce(F.size("times_ms"), F.lit(-1)).alias("n"))
-    once = (
-        base.filter("run_id IS NOT NULL")
-        .groupBy("run_id")
-        .agg(F.max_by(F.struct("repo_name", "day", "times_ms"), latest).alias("r"))
-        .select("r.*")
-    )
-    alone = base.filter("run_id IS NULL").select("repo_name", "day", "times_ms")
-    return once.unionByName(alone).select("repo_name", "day", F.explode(F.pandas_udf(_valid_keys, T.ArrayType(T.LongType()))("times_ms")).alias("key"))
+    again = base.join(twice, "run_id", "left_semi").groupBy("run_id").agg(F.max_by(F.struct("repo_name", "day", "times_ms"), latest).alias("r")).select("r.*")
+    # Rows without run_id match no row of ``twice`` and are kept.
+    rows = again.unionByName(base.join(twice, "run_id", "left_anti").select("repo_name", "day", "times_ms"))
+    return rows.select("repo_name", "day", F.explode(F.pandas_udf(_valid_keys, T.ArrayType(T.LongType()))("times_ms")).alias("key"))
 
 
 def _all(conds: list):
