@@ -185,11 +185,11 @@ def ext2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted_rules(f)
 
 
-def counted_rules(f: DataFrame) -> DataFrame:
-    """The shipped rules over files; they are parsed once for conditions and measures."""
-    parsed = cut(trees.nodes(f, measures=True, kinds=user_rules.node_kinds(RULES)))
+def counted_rules(f: DataFrame, rules: list[dict] = RULES) -> DataFrame:
+    """Rules over files, counted by repository; the files are parsed once for conditions and measures."""
+    parsed = cut(trees.nodes(f, measures=True, kinds=user_rules.node_kinds(rules)))
     m = trees.measures_of(parsed, ["loc", "max_complexity"])
-    found = user_rules.apply(f, RULES, m, parsed=parsed.filter(F.col("kind") != trees.MEASURES))
+    found = user_rules.apply(f, rules, m, parsed=parsed.filter(F.col("kind") != trees.MEASURES))
     return found.join(f.select("file_id", "repo"), "file_id").groupBy("repo", "rule_id", "severity").agg(F.count("*").alias("matches"))
 
 

@@ -143,9 +143,19 @@ def pat14_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.functions(_files(spark)).filter("has_doc").select("file_id", "name", trees.doc_quality(F.col("doc")).alias("quality"))
 
 
+#: Rules beside the shipped ones: combinations of each logic, one with an unknown part, and a disabled rule.
+MORE_RULES = [
+    {"id": "any-risk", "type": "composite", "severity": "low", "sub_rules": ["eval-usage", "no-bare-except"], "composite_logic": "any"},
+    {"id": "all-risks", "type": "composite", "severity": "high", "sub_rules": ["eval-usage", "todo-comments", "hardcoded-password"], "composite_logic": "all"},
+    {"id": "never", "type": "composite", "severity": "high", "sub_rules": ["eval-usage", "unknown"], "composite_logic": "all"},
+    {"id": "calm", "type": "composite", "severity": "info", "sub_rules": ["no-print-statements", "eval-usage", "unknown"], "composite_logic": "none"},
+    {"id": "off", "type": "regex_pattern", "severity": "low", "regex_pattern": "import", "enabled": False},
+]
+
+
 def ext3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EXT2, EXT3, EXT4, EXT5, AST17, PAT6, JN7, FLT9: the shipped rules."""
-    return q_code.counted_rules(_files(spark).filter("content IS NOT NULL AND path LIKE '%.py'"))
+    """EXT2, EXT3, EXT4, EXT5, AST17, PAT6, JN7, FLT9: the shipped rules and all kinds of combinations."""
+    return q_code.counted_rules(_files(spark).filter("content IS NOT NULL AND path LIKE '%.py'"), q_code.RULES + MORE_RULES)
 
 
 QUERIES = {f.__name__: f for f in (ast1_nodes, ast2_risks, ast7_measures, ast10_functions, ast11_classes, ast13_tests, agg11_flags, ast15_imports, ast18_signatures, ast19_identifiers, pat14_quality, ext3_rules)}
@@ -171,7 +181,8 @@ AS t(file_id, name, owner, line, length, params, returns, complexity, has_doc, t
     "ast11_classes": """SELECT * FROM (VALUES ('a', 1::BIGINT, 'Store', 4, 3, 0, 2, true, true, false, false, false), ('a', 1, 'Once', 2, 1, 0, 0, false, false, true, true, false))
 AS t(repo, file_id, name, methods, public, private, attributes, has_doc, is_repository, is_factory, is_singleton, is_god_class)""",
     "ext3_rules": """SELECT repo, rule_id, severity, n::BIGINT AS matches FROM (VALUES ('a', 'eval-usage', 'high', 1), ('a', 'hardcoded-password', 'high', 2), ('a', 'high-complexity', 'medium', 1), ('a', 'no-bare-except', 'medium', 1),
-('a', 'no-print-statements', 'low', 1), ('a', 'todo-comments', 'info', 1), ('b', 'high-complexity', 'medium', 1), ('b', 'no-bare-except', 'medium', 1), ('b', 'no-print-statements', 'low', 1)) AS t(repo, rule_id, severity, n)""",
+('a', 'no-print-statements', 'low', 1), ('a', 'todo-comments', 'info', 1), ('b', 'high-complexity', 'medium', 1), ('b', 'no-bare-except', 'medium', 1), ('b', 'no-print-statements', 'low', 1),
+('a', 'any-risk', 'low', 2), ('b', 'any-risk', 'low', 1), ('a', 'all-risks', 'high', 1), ('b', 'calm', 'info', 2)) AS t(repo, rule_id, severity, n)""",
     "ast13_tests": "SELECT * FROM (VALUES ('a', 2::BIGINT, 2::BIGINT, 1::BIGINT, 1::BIGINT, 1::BIGINT, 0::BIGINT)) AS t(repo, tests, assert_calls, without_assertions, parametrized, fixtures, bare_excepts)",
     "agg11_flags": "SELECT * FROM (VALUES ('a', true, true, true, true, false, false), ('b', true, true, true, true, false, false)) AS t(repo, repository, factory, singleton, injection, mvc, clean)",
 }
