@@ -77,21 +77,39 @@ def cut_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/codestrata/{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Spark's switch to delete shuffle files at the end of the query that wrote them, not when the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there.
 
     A written Parquet table survives the loss of any executor, keeps column pruning for later readers and
     gives the optimizer real sizes, which a cached or locally checkpointed frame does not. The table is deleted
-    when the application ends, or by ``drop_cuts``.
+    when the application ends, or by ``drop`` and ``drop_cuts``. With ``tidy`` the shuffle files of the writing go at once.
     """
     spark = df.sparkSession
     path = f"{cut_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete one table that ``cut`` has written; frames that read it are no longer usable."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_cuts(spark: SparkSession) -> None:
     """Delete all tables that ``cut`` has written in this application; frames that read them are no longer usable."""
     at = spark._jvm.org.apache.hadoop.fs.Path(cut_folder(spark))
